@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, slices, small_batches
 
 WINDOW, END, GROUP = 2048, 1, 20_000
-KEPT = 300_000
+KEPT = 500_000
 _LETTER = "a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f"
 #: Parts for which lower case, NFC and the tokenizer's own split are plain.
 _PLAIN = re.compile(rf"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
 #: Fixed value: how the tokenizer parts plain lower-case text.
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\x20|[^{_LETTER}0-9\x20]+")
+#: Stands between parts; no id has such bytes.
+_BREAK = b"\xff\xff\xff\xff"
 
 
 class Ids:
@@ -42,7 +44,7 @@ class Ids:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {" ": _BREAK}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -59,37 +61,28 @@ class Ids:
                 self.words[word] = self._encode(word).tobytes()
 
     def learn(self, parts: list[bytes]) -> None:
-        if len(self.known) > KEPT:
-            self.known.clear()
-        if len(self.words) > KEPT:
-            self.words.clear()
-        split: dict[bytes, list[str]] = {}
+        plain, words = [], self.words
         for part in parts:
-            text = part.decode()
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                split[part] = _WORDS.findall(text.lower())
+            if _PLAIN.fullmatch(text := part.decode()) and "<|" not in text:
+                plain.append(part)
             else:
                 self.known[part] = self._encode(text).tobytes()
-        words = self.words
-        if new := list({w for own in split.values() for w in own if w not in words}):
-            self._learn_words(new)
-        for part, own in split.items():
-            self.known[part] = b"".join([words[w] for w in own])
-
-    def learn_batch(self, texts: list[bytes]) -> None:
-        """Learn what many texts need in one go."""
-        known = self.known
-        if new := {p for text in texts for p in text.split() if p not in known}:
+        if plain:
+            own = _WORDS.findall(b" ".join(plain).decode().lower())
+            if new := list(set(own) - words.keys()):
+                self._learn_words(new)
+            coded = b"".join(map(words.__getitem__, own)).split(_BREAK)
+            self.known.update(zip(plain, coded, strict=True))
+
+    def of_all(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > KEPT:
+            self.known.clear()
+        if len(self.words) > KEPT:
+            self.words = {" ": _BREAK}
+        parts, known = [t.split() for t in texts], self.known
+        if new := set().union(*parts) - known.keys():
             self.learn(list(new))
-
-    def of(self, text: bytes) -> bytes:
-        parts = text.split()
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            self.learn(list(set(parts)))
-            return b"".join([known[p] for p in parts])
+        return [b"".join(map(known.__getitem__, own)) for own in parts]
 
 
 _IDS: dict[str, Ids] = {}
@@ -161,9 +154,8 @@ def _pieces(path: str, window: int, end: int):
         for batch in slices(batches):
             rows = []
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            ids.learn_batch(texts)
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                coded = ids.of(text) + last
+            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), ids.of_all(texts), strict=True):
+                coded += last
                 tokens = len(coded) // 4
                 for start in range(0, tokens, window):
                     piece = coded[4 * start : 4 * (start + window)]
