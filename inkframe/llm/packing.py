@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, slices, small_batches
 
 WINDOW, END, GROUP = 2048, 1, 20_000
-KEPT = 500_000
+KEPT = 1_000_000
 _LETTER = "a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f"
 #: Parts for which lower case, NFC and the tokenizer's own split are plain.
 _PLAIN = re.compile(rf"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
