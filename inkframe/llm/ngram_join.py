@@ -2,15 +2,18 @@
 
 Plan, exact at every size (up to 64-bit hash collisions):
 
-1. One pass over the texts makes each document's set of distinct word shingles, its size and a
-   64-bit class id (documents with equal sets are one class, so copies never meet each other), and
-   a fixed-size sketch of shingle counts over all documents (2^18 buckets, summed per slice).
+1. One pass over the texts makes each document's set of distinct word shingles, its size, a token
+   bitmap and a 64-bit class id (documents with equal sets are one class, so copies never meet each
+   other), and a fixed-size sketch of shingle counts over all documents (2^18 buckets).
 2. Prefix filter: under any one global order of the shingles, two sets of size n and m with a
    Jaccard of t or more share a shingle among the first n - ceil(t n) + 1 of the one and
    m - ceil(t m) + 1 of the other. The order puts shingles of rare sketch buckets first, so a line
    that a third of all documents hold isn't in the prefix of documents that hold more than it.
-   Postings are dealt by shingle and streamed; each run links its sets to a first one, broken
-   where sizes are too far apart. Components of these candidate edges are blocks: no link leaves one.
+   Postings are dealt by shingle and streamed; sets that share one are a group, broken where sizes
+   are too far apart. A signature tree over each group's bitmaps is traversed against itself, and
+   pairs that its bounds can't rule out become candidate edges, at most a spanning forest for each
+   task. Groups over ``LARGE`` sets are linked to their first set without bitmaps, as they stream by.
+   Components of the candidate edges are blocks: no link leaves one.
 3. Inside a block a signature tree is traversed against itself, and what it can't prune is compared
    exactly. A block over ``BLOCK`` shingles is dealt in chunks: chunks on their own, then one hub set
    against all chunks, then only the sets outside the hub's component against every chunk.
@@ -32,12 +35,15 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, raw, runs, slices, small_batches, stash
 from .components import components
 from .shingles import WIDTH, shingle_sets
-from .sigtree import Groups, Tree, bitmap_bits, linked, order_of, traverse
+from .sigtree import Groups, Tree, buckets_for, linked, set_tree, traverse
 
 BUCKETS = 1 << 18
 SLICE = 1 << 14
 BLOCK = 2_000_000
+LARGE = 4096
+MAP = 256
 _PASS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("counts", pa.binary())])
+_GROUP = pa.schema([("grp", pa.int64()), ("sid", pa.int64()), ("first", pa.int64())])
 _POST = pa.schema([("token", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _LINK = pa.schema([("task", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("members", pa.int64())])
@@ -57,6 +63,19 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
         yield batch, *shingle_sets(*raw(batch.column("text")), width)
 
 
+def _maps(tokens: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """The token bitmap of each set as counts of one byte, or of four where one is over 255; none of an empty set."""
+    rows = len(at) - 1
+    of = np.repeat(np.arange(rows), np.diff(at))
+    counts = np.bincount(of * MAP + (tokens & np.uint64(MAP - 1)).astype(np.int64), minlength=rows * MAP).reshape(rows, MAP)
+    most = counts.max(axis=1, initial=0)
+    return [c.astype("u1" if m < 256 else "<u4").tobytes() if m else None for c, m in zip(counts, most, strict=True)]
+
+
+def _map_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "u1" if len(data) == MAP else "<u4").astype(np.uint32)
+
+
 def _first_pass(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, np.int64)
@@ -65,7 +84,7 @@ def _first_pass(width: int):
             n = np.diff(at)
             sids = [set_id(tokens[at[i] : at[i + 1]]) if n[i] else 0 for i in range(len(n))]
             rows = len(n)
-            yield arrow_rows(_PASS, kind=[0] * rows, doc_id=batch.column("doc_id").cast(pa.int64()), n=n, sid=sids, counts=[None] * rows)
+            yield arrow_rows(_PASS, kind=[0] * rows, doc_id=batch.column("doc_id").cast(pa.int64()), n=n, sid=sids, counts=_maps(tokens, at))
         parts = [k for k in range(BUCKETS // SLICE) if seen[k * SLICE : (k + 1) * SLICE].any()]
         none = [None] * len(parts)
         yield arrow_rows(_PASS, kind=[1] * len(parts), doc_id=none, n=parts, sid=none, counts=[seen[k * SLICE : (k + 1) * SLICE].astype("<u4").tobytes() for k in parts])
@@ -105,30 +124,93 @@ def _postings(rank, percent: int, width: int):
     return run
 
 
-def _stars(percent: int):
+def _groups(percent: int, most: int):
+    """Rows (grp, sid) of the sets that share a shingle, sizes never too far apart from one to the next; groups
+    that a task has met before are left out. Of larger groups rows (sid, first), as they stream by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, 0, 0, 0)  # token, size, set, first set of its run
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_numpy() for c in ("token", "n", "sid")), strict=True)
-            token = batch.column("token").to_numpy()
+        met: set[int] = set()
+        kept = np.zeros((3, 0), np.int64)
+        large: tuple[int, int, int] | None = None  # token, last size and first set of a group that goes on
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def close(token: np.ndarray, n: np.ndarray, sid: np.ndarray) -> None:
+            """All groups of these rows, whose last is complete."""
             if not len(token):
-                continue
-            alone = np.concatenate(([token[0] != last[0]], token[1:] != token[:-1]))
-            alone &= np.concatenate((alone[1:], [False]))
-            u, v = [], []
-            for lonely, (t, n, s) in zip(alone, rows, strict=True):
-                if lonely:
+                return
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])))
+            first = np.flatnonzero(new)
+            size = np.diff(np.concatenate((first, [len(token)])))
+            for a, k in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                own = sid[a : a + k]
+                if k == 2 and own[0] == own[1]:
                     continue
-                if t != last[0] or 100 * last[1] < percent * n:
-                    last = (t, n, s, s)
+                own = np.unique(own)
+                if len(own) > 1 and (key := hash(own.tobytes())) not in met:
+                    met.add(key)
+                    if len(own) > most:
+                        out.append((own[1:] * 0, own[1:], own[1:] * 0 + own[0]))
+                    else:
+                        grp = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+                        out.append((np.full(len(own), grp), own, np.zeros(len(own), np.int64)))
+
+        def flush() -> pa.RecordBatch:
+            grp, sid, first = (np.concatenate(x) for x in zip(*out, strict=True))
+            out.clear()
+            return arrow_rows(_GROUP, grp=grp, sid=sid, first=first)
+
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy() for c in ("token", "n", "sid")])
+            if not rows.shape[1]:
+                continue
+            if large is not None:  # rows that go on a large group
+                token, last, first = large
+                ns = np.concatenate(([last], rows[1]))
+                goes = np.logical_and.accumulate((rows[0] == token) & (100 * ns[:-1] >= percent * ns[1:]))
+                k = int(goes.sum())
+                if k:
+                    out.append((rows[2][:k] * 0, rows[2][:k], rows[2][:k] * 0 + first))
+                    large = (token, int(rows[1][k - 1]), first)
+                if k == rows.shape[1]:
                     continue
-                if s != last[2]:
-                    u.append(last[3])
-                    v.append(s)
-                last = (t, n, s, last[3])
-            if u:
-                pairs = np.unique(np.array([u, v]), axis=1)
-                yield arrow_rows(_EDGE, u=pairs[0], v=pairs[1])
+                large, rows = None, rows[:, k:]
+            rows = np.concatenate((kept, rows), axis=1)
+            end = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            close(*rows[:, :end])
+            kept = rows[:, end:]
+            if kept.shape[1] > 2 * most:
+                token, n, sid = kept
+                cut = np.flatnonzero(100 * n[:-1] < percent * n[1:])
+                at = int(cut[-1]) + 1 if len(cut) else 0
+                close(token[:at], n[:at], sid[:at])
+                if len(sid) - at > most:
+                    large = (int(token[-1]), int(n[-1]), int(sid[at]))
+                    out.append((sid[at:] * 0, sid[at:], sid[at:] * 0 + sid[at]))
+                    kept = kept[:, :0]
+                else:
+                    kept = kept[:, at:]
+            if out:
+                yield flush()
+        close(*kept)
+        if out:
+            yield flush()
+
+    return run
+
+
+def _candidates(percent: int):
+    """Edges between sets of a group whose bitmaps allow a link; a spanning forest for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = Groups()
+        for table in runs(batches, "grp"):
+            rows = dict(zip(table.column("sid").to_pylist(), zip(table.column("n").to_pylist(), table.column("counts").to_pylist(), strict=True), strict=True))
+            if len({groups.find(s) for s in rows}) < 2:
+                continue
+            members = sorted(rows, key=lambda s: (rows[s][0], s))
+            tree = Tree(members, np.stack([_map_of(rows[s][1]) for s in members]), np.array([rows[s][0] for s in members], np.int64))
+            if found := traverse(tree, tree, groups, percent, lambda i, j: True):
+                yield arrow_rows(_EDGE, u=[i for i, _ in found], v=[j for _, j in found])
 
     return run
 
@@ -160,12 +242,17 @@ def _link_tasks(percent: int, width: int):
                 if sets and roles[0] == 0:
                     yield arrow_rows(_LINK, task=table.column("task")[:1].combine_chunks(), u=sids, v=sids, members=[1])
                 continue
-            groups = Groups(len(sets))
+            groups = Groups()
+
+            def check(i: int, j: int, sets: list[np.ndarray] = sets) -> bool:
+                return linked(sets[i], sets[j], percent)
+
+            buckets = buckets_for([len(x) for x in sets])
             task = table.column("task")[0].as_py()
             by = {r: [i for i, x in enumerate(roles) if x == r] for r in set(roles)}
             if 0 in by:
-                tree = Tree(sets, order_of(sets, by[0]), bitmap_bits(sets))
-                traverse(sets, tree, tree, groups, percent)
+                tree = set_tree(sets, by[0], buckets)
+                traverse(tree, tree, groups, percent, check)
                 roots = [groups.find(i) for i in by[0]]
                 size = {r: roots.count(r) for r in set(roots)} if len(roots) < 64 else dict(zip(*(x.tolist() for x in np.unique(roots, return_counts=True)), strict=True))
                 yield arrow_rows(_LINK, task=[task] * len(roots), u=sids, v=[sids[r] for r in roots], members=[size[r] for r in roots])
@@ -174,14 +261,13 @@ def _link_tasks(percent: int, width: int):
                 hit = [i for i in by.get(2, []) if linked(sets[i], sets[hub], percent)]
                 yield arrow_rows(_LINK, task=[task] * len(hit), u=[sids[i] for i in hit], v=[sids[hub]] * len(hit), members=[0] * len(hit))
             elif 2 in by and 3 in by:
-                bits = bitmap_bits(sets)
-                hits = traverse(sets, Tree(sets, order_of(sets, by[2]), bits), Tree(sets, order_of(sets, by[3]), bits), groups, percent)
+                hits = traverse(set_tree(sets, by[2], buckets), set_tree(sets, by[3], buckets), groups, percent, check)
                 yield arrow_rows(_LINK, task=[task] * len(hits), u=[sids[i] for i, _ in hits], v=[sids[j] for _, j in hits], members=[0] * len(hits))
 
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 80, width: int = WIDTH, block: int = BLOCK, large: int = LARGE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable by links, the document itself included.
@@ -191,6 +277,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = WIDTH, b
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = stash(docs.mapInArrow(_first_pass(width), _ddl(_PASS)), "sets")
     sets = first.filter("kind = 0").select("doc_id", "n", "sid")
+    maps = first.filter("kind = 0 AND n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
     sums = first.filter("kind = 1").select("n", "counts").repartition("n").sortWithinPartitions("n").mapInArrow(_sum_slices, "n bigint, counts binary")
     counts = np.zeros(BUCKETS, np.uint64)
     for row in sums.toLocalIterator():  # 2^18 numbers, however large the input
@@ -198,8 +285,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = WIDTH, b
     rank = spark.sparkContext.broadcast(np.minimum(counts, (1 << 23) - 1))
 
     posted = docs.mapInArrow(_postings(rank, percent, width), _ddl(_POST))
-    near = posted.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_stars(percent), _ddl(_EDGE))
-    blocks = components(near.distinct()).withColumnRenamed("node", "sid").withColumnRenamed("label", "block")
+    grouped = stash(posted.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_groups(percent, large), _ddl(_GROUP)), "groups")
+    mapped = grouped.filter("first = 0").select("grp", "sid").join(maps, "sid").repartition("grp").sortWithinPartitions("grp")
+    near = mapped.mapInArrow(_candidates(percent), _ddl(_EDGE)).union(grouped.filter("first <> 0").select(F.col("sid").alias("u"), F.col("first").alias("v")))
+    blocks = components(near).withColumnRenamed("node", "sid").withColumnRenamed("label", "block")
 
     classes = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"))
     members = stash(blocks.join(classes, "sid"), "members")

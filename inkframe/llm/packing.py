@@ -5,8 +5,8 @@ rest. Pieces are dealt evenly into groups of some ten thousand, each sorted by d
 Spark and streamed through a segment tree indexed by remaining capacity, which finds the tightest open
 window. Only the open windows' remaining capacities are held. Sequence ids are group * 2^32 + number.
 
-A text is split at ASCII white space and each part's ids are kept, as the tokenizer drops white space
-and never joins what it parts. Null and empty texts are the end id alone. Repeated rows are packed each.
+Texts of plain Latin letters, digits and ASCII signs are split into the tokenizer's own words, whose ids
+are kept; the tokenizer takes all other texts whole. Null and empty texts are the end id alone. Repeated rows are packed each.
 """
 
 from __future__ import annotations
@@ -23,18 +23,16 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, slices, small_batches
 
 WINDOW, END, GROUP = 2048, 1, 20_000
-KEPT = 1_000_000
+KEPT = 300_000
 _LETTER = "a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f"
-#: Parts for which lower case, NFC and the tokenizer's own split are plain.
-_PLAIN = re.compile(rf"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
+#: Texts for which lower case, NFC and the tokenizer's own split are plain.
+_PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]*")
 #: Fixed value: how the tokenizer parts plain lower-case text.
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\x20|[^{_LETTER}0-9\x20]+")
-#: Stands between parts; no id has such bytes.
-_BREAK = b"\xff\xff\xff\xff"
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9\x09-\x0d\x20]+")
 
 
 class Ids:
-    """Little-endian 32-bit ids of texts. Ids of up to ``KEPT`` parts and words are kept; more begin anew."""
+    """Little-endian 32-bit ids of texts. Ids of up to ``KEPT`` words are kept; more begin anew."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,53 +41,37 @@ class Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {" ": _BREAK}
+        self.words: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn_words(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Ids of words, all in one call: a word's last id has the word's end."""
         ids = self._encode(" ".join(new))
-        ends = np.flatnonzero(self.ends[ids]) + 1
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(ends) == len(new):
-            for word, a, b in zip(new, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.words[word] = ids[a:b].tobytes()
+            data = ids.tobytes()
+            self.words.update(zip(new, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
         else:
-            for word in new:
-                self.words[word] = self._encode(word).tobytes()
-
-    def learn(self, parts: list[bytes]) -> None:
-        plain, words = [], self.words
-        for part in parts:
-            if _PLAIN.fullmatch(text := part.decode()) and "<|" not in text:
-                plain.append(part)
-            else:
-                self.known[part] = self._encode(text).tobytes()
-        if plain:
-            own = _WORDS.findall(b" ".join(plain).decode().lower())
-            if new := list(set(own) - words.keys()):
-                self._learn_words(new)
-            coded = b"".join(map(words.__getitem__, own)).split(_BREAK)
-            self.known.update(zip(plain, coded, strict=True))
-
-    def of_all(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > KEPT:
-            self.known.clear()
+            self.words.update((word, self._encode(word).tobytes()) for word in new)
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        """Plain texts go by their words; the tokenizer takes others as they are."""
         if len(self.words) > KEPT:
-            self.words = {" ": _BREAK}
-        parts, known = [t.split() for t in texts], self.known
-        if new := set().union(*parts) - known.keys():
-            self.learn(list(new))
-        return [b"".join(map(known.__getitem__, own)) for own in parts]
+            self.words.clear()
+        words = self.words
+        split = [_WORDS.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+        if new := set().union(*filter(None, split)) - words.keys():
+            self._learn(list(new))
+        return [self._encode(t).tobytes() if own is None else b"".join(map(words.__getitem__, own)) for t, own in zip(texts, split, strict=True)]
 
 
 _IDS: dict[str, Ids] = {}
 
 
 def ids_of(path: str) -> Ids:
-    """One for each worker process, kept between tasks."""
+    """One for each worker process."""
     if path not in _IDS:
         _IDS[path] = Ids(path)
     return _IDS[path]
@@ -153,7 +135,7 @@ def _pieces(path: str, window: int, end: int):
         last = np.array([end], "<u4").tobytes()
         for batch in slices(batches):
             rows = []
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, coded in zip(batch.column("doc_id").to_pylist(), ids.of_all(texts), strict=True):
                 coded += last
                 tokens = len(coded) // 4
@@ -162,6 +144,7 @@ def _pieces(path: str, window: int, end: int):
                     rows.append((slot, doc_id, start, len(piece) // 4, zlib.crc32(piece), tokens))
                     slot += 1
             yield arrow_rows(_PIECE, **dict(zip(_PIECE.names, zip(*rows, strict=True), strict=True)))
+        ids.words.clear()  # the worker may run other stages next
 
     return run
 

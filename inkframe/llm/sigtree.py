@@ -1,127 +1,130 @@
-"""Signature tree over shingle sets, and the dual traversal that finds links between the sets.
-
-A node holds the OR of the token bitmaps below it, the range of set sizes and the largest number of
-tokens that share a bit with another token of the same set. For sets A below X and B below Y,
-|A & B| <= popcount(OR(X) & OR(Y)) + min(surplus(X), surplus(Y)), which prunes a pair of nodes when
-it stays under the overlap that their smallest sets need. Pairs of nodes whose sets are all linked
-already are skipped, as one more link between them can't change a component.
+"""Signature trees over shingle sets, and the dual traversal that finds links between the sets.
+
+A set's bitmap has a column for each of some hundred buckets of its tokens, with as many bits set as
+it has tokens there (kept as counts: the AND of two such bitmaps has the sum of the smaller counts as
+its bits, their OR the larger counts). A node ORs the bitmaps below it and keeps the range of set
+sizes. Two sets below nodes X and Y share at most |X AND Y| tokens, so a pair of nodes is pruned
+when that stays under the overlap its smallest sets need. Pairs of nodes whose sets are all in one
+group already are skipped, as one more link between them can't change a component.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 FANOUT = 8
 
 
 class Groups:
-    """Union-find over positions 0..n-1; the root is the smallest position."""
+    """Union-find over numbers that are met as they come; the root is the smallest."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
     def find(self, i: int) -> int:
         up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
+        while (j := up.get(i, i)) != i:
+            up[i] = up.get(j, j)
+            i = j
         return i
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int) -> bool:
         a, b = self.find(i), self.find(j)
         if a != b:
             self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def bitmap(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return np.bincount((tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.uint32)
+
+
+def buckets_for(sizes: list[int]) -> int:
+    return 1 << min(12, max(8, sorted(sizes)[len(sizes) // 2].bit_length()))
 
 
 class Tree:
-    """Levels of nodes over ``order`` (positions of sets); level 0 are the sets themselves."""
-
-    def __init__(self, sets: list[np.ndarray], order: np.ndarray, bits: int):
-        self.order = order
-        sizes = np.array([len(sets[i]) for i in order], np.int64)
-        maps = np.zeros((len(order), bits // 64), np.uint64)
-        for row, i in enumerate(order):
-            at = sets[i] & np.uint64(bits - 1)
-            np.bitwise_or.at(maps[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        surplus = sizes - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
-        self.levels = [(maps, sizes, sizes, surplus)]
+    """Levels of nodes over members (any numbers, for `Groups`); level 0 are the members in the given order."""
+
+    def __init__(self, members: list[int], maps: np.ndarray, sizes: np.ndarray):
+        self.members = members
+        self.levels = [(maps, sizes, sizes)]
         while len(self.levels[-1][1]) > 1:
-            maps, low, high, extra = self.levels[-1]
+            maps, low, high = self.levels[-1]
             cut = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(maps, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(extra, cut)))
-        self.same: list[list[int]] = [list(order)] + [[-1] * len(level[1]) for level in self.levels[1:]]
+            self.levels.append((np.maximum.reduceat(maps, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
+        self.one: list[list[int | None]] = [list(members)] + [[None] * len(level[1]) for level in self.levels[1:]]
 
     def under(self, level: int, node: int) -> range:
         return range(node * FANOUT, min((node + 1) * FANOUT, len(self.levels[level - 1][1])))
 
-    def group(self, level: int, node: int, groups: Groups) -> int:
-        """The group that all sets below a node are in, or -1. Groups only grow, so a group once seen is kept."""
-        if self.same[level][node] >= 0:
-            return groups.find(self.same[level][node])
-        found = -1
+    def group(self, level: int, node: int, groups: Groups) -> int | None:
+        """The group that all members below a node are in, or None. Groups only grow, so one once seen is kept."""
+        if (known := self.one[level][node]) is not None:
+            return groups.find(known)
+        found = None
         for child in self.under(level, node):
             g = self.group(level - 1, child, groups)
-            if g < 0 or found not in (-1, g):
-                return -1
+            if g is None or found not in (None, g):
+                return None
             found = g
-        self.same[level][node] = found
+        self.one[level][node] = found
         return found
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * |a & b| >= percent * |a or b|, for sorted distinct sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if 100 * len(a) < percent * len(b):
-        return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    both = int(np.count_nonzero(b[at] == a))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def needed(low_a: np.ndarray, low_b: np.ndarray, percent: int) -> np.ndarray:
+    """The least overlap of two sets of these sizes with 100 * overlap >= percent * union."""
+    return (percent * (low_a + low_b) + 99 + percent) // (100 + percent)
 
 
-def traverse(sets: list[np.ndarray], left: Tree, right: Tree, groups: Groups, percent: int) -> list[tuple[int, int]]:
-    """Join the groups of all linked sets below the two trees (one tree twice: within it); the links used."""
+def traverse(left: Tree, right: Tree, groups: Groups, percent: int, check: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Join the groups of all pairs (one below each tree; one tree twice: within it) that no bound rules out
+    and ``check`` affirms, unless they are in one group by then; the pairs that were joined."""
     found: list[tuple[int, int]] = []
     itself = left is right
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
         la, a, lb, b = stack.pop()
-        ga = left.group(la, a, groups)
-        if ga >= 0 and ga == right.group(lb, b, groups):
+        own = left.group(la, a, groups)
+        if own is not None and own == right.group(lb, b, groups):
             continue
         if la == 0 and lb == 0:
-            i, j = left.order[a], right.order[b]
-            if i != j and linked(sets[i], sets[j], percent):
-                groups.join(i, j)
-                found.append((i, j))
+            if check(left.members[a], right.members[b]):
+                groups.join(left.members[a], right.members[b])
+                found.append((left.members[a], right.members[b]))
             continue
-        down_a = la >= lb and la > 0
-        down_b = (lb > la or itself) and lb > 0
+        down_a, down_b = la >= lb and la > 0, lb >= la and lb > 0
         na = np.array(left.under(la, a) if down_a else [a])
         nb = np.array(right.under(lb, b) if down_b else [b])
         la, lb = la - down_a, lb - down_b
-        maps_a, low_a, high_a, extra_a = (x[na] for x in left.levels[la])
-        maps_b, low_b, high_b, extra_b = (x[nb] for x in right.levels[lb])
-        shared = np.bitwise_count(maps_a[:, None] & maps_b[None]).sum(axis=2).astype(np.int64)
-        shared += np.minimum(extra_a[:, None], extra_b[None])
-        most = np.minimum(shared, np.minimum(high_a[:, None], high_b[None]))
-        need = (percent * (low_a[:, None] + low_b[None]) + 99 + percent) // (100 + percent)
+        maps_a, low_a, high_a = (x[na] for x in left.levels[la])
+        maps_b, low_b, high_b = (x[nb] for x in right.levels[lb])
+        most = np.minimum(maps_a[:, None], maps_b[None]).sum(axis=2, dtype=np.int64)
         apart = (100 * high_a[:, None] < percent * low_b[None]) | (100 * high_b[None] < percent * low_a[:, None])
-        for x, y in np.argwhere((most >= need) & ~apart)[::-1]:
-            p, q = int(na[x]), int(nb[y])
-            if not (itself and la == lb and (q < p or la == 0 and p == q)):
-                stack.append((la, p, lb, q))
-        if itself:  # pairs of a node with itself come first: clusters close before they meet others
-            stack.sort(key=lambda s: s[0] == s[2] and s[1] == s[3]) if len(stack) <= FANOUT * FANOUT else None
+        hits = np.argwhere((most >= needed(low_a[:, None], low_b[None], percent)) & ~apart)
+        pairs = [(int(na[x]), int(nb[y])) for x, y in hits]
+        if itself and la == lb:
+            pairs = [(p, q) for p, q in pairs if p < q or p == q and la > 0]
+            pairs.sort(key=lambda pq: pq[0] == pq[1])  # nodes with themselves last, so that they are popped first
+        stack += [(la, p, lb, q) for p, q in pairs]
     return found
 
 
-def bitmap_bits(sets: list[np.ndarray]) -> int:
-    sizes = sorted(len(s) for s in sets)
-    return 1 << min(14, max(8, (4 * sizes[len(sizes) // 2]).bit_length()))
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * |a & b| >= percent * |a or b|, for sorted distinct sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int(np.count_nonzero(b[at] == a))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def order_of(sets: list[np.ndarray], which: list[int]) -> np.ndarray:
-    """Positions such that similar sets tend to be neighbours: by the smallest token, then by size."""
-    return np.array(sorted(which, key=lambda i: (int(sets[i][0]), len(sets[i]), i)), np.int64)
+def set_tree(sets: list[np.ndarray], which: list[int], buckets: int) -> Tree:
+    """A tree over the positions ``which``, ordered so that similar sets tend to be neighbours: by smallest token."""
+    order = sorted(which, key=lambda i: (int(sets[i][0]), len(sets[i]), i))
+    return Tree(order, np.stack([bitmap(sets[i], buckets) for i in order]), np.array([len(sets[i]) for i in order], np.int64))
