@@ -14,8 +14,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Labels stay distributed; each round is written to the shared scratch folder, so a lost
     executor costs one round. Minima are combined before the shuffle, so a hub is no hot task.
     """
-    pairs = edges.select(F.col(u).alias("node"), F.col(v).alias("near")).filter("node <> near")
-    both = stash(pairs.union(pairs.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), "edges")
+    ways = F.array(F.struct(F.col(u).alias("node"), F.col(v).alias("near")), F.struct(F.col(v).alias("node"), F.col(u).alias("near")))
+    both = stash(edges.filter(F.col(u) != F.col(v)).select(F.inline(ways)).distinct(), "edges")
     labels = stash(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         heard = both.join(labels.select(F.col("node").alias("near"), "label"), "near").groupBy("node").agg(F.min("label").alias("m"))

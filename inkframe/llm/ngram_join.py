@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, raw, runs, slices, small_batches, stash
 from .components import components
 from .shingles import WIDTH, shingle_sets
-from .sigtree import Groups, Tree, buckets_for, linked, set_tree, traverse
+from .sigtree import Groups, Tree, bitmap, buckets_for, linked, set_tree, traverse
 
 BUCKETS = 1 << 18
 SLICE = 1 << 14
@@ -64,16 +64,25 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
 
 
 def _maps(tokens: np.ndarray, at: np.ndarray) -> list[bytes | None]:
-    """The token bitmap of each set as counts of one byte, or of four where one is over 255; none of an empty set."""
-    rows = len(at) - 1
-    of = np.repeat(np.arange(rows), np.diff(at))
+    """The token bitmap of each set as counts of one byte (255: that or more); none of an empty set.
+
+    A bitmap has 256 buckets, or more for more than 16 tokens a bucket: by chance, unlike sets share
+    fewer tokens by its bound than a link needs.
+    """
+    rows, sizes = len(at) - 1, np.diff(at)
+    of = np.repeat(np.arange(rows), sizes)
     counts = np.bincount(of * MAP + (tokens & np.uint64(MAP - 1)).astype(np.int64), minlength=rows * MAP).reshape(rows, MAP)
-    most = counts.max(axis=1, initial=0)
-    return [c.astype("u1" if m < 256 else "<u4").tobytes() if m else None for c, m in zip(counts, most, strict=True)]
+    out = [row.tobytes() if n else None for row, n in zip(np.minimum(counts, 255).astype("u1"), sizes.tolist(), strict=True)]
+    for i in np.flatnonzero(sizes > 16 * MAP).tolist():
+        out[i] = np.minimum(bitmap(tokens[at[i] : at[i + 1]], 1 << int(sizes[i] // 16).bit_length()), 255).astype("u1").tobytes()
+    return out
 
 
-def _map_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "u1" if len(data) == MAP else "<u4").astype(np.uint32)
+def _map_table(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps side by side, folded to the fewest buckets among them; 255 bounds nothing."""
+    buckets = min(map(len, maps))
+    counts = [np.frombuffer(m, "u1").astype(np.uint32) for m in maps]
+    return np.stack([np.where(c == 255, 1 << 20, c).astype(np.uint32).reshape(-1, buckets).sum(axis=0, dtype=np.uint32) for c in counts])
 
 
 def _first_pass(width: int):
@@ -208,7 +217,7 @@ def _candidates(percent: int):
             if len({groups.find(s) for s in rows}) < 2:
                 continue
             members = sorted(rows, key=lambda s: (rows[s][0], s))
-            tree = Tree(members, np.stack([_map_of(rows[s][1]) for s in members]), np.array([rows[s][0] for s in members], np.int64))
+            tree = Tree(members, _map_table([rows[s][1] for s in members]), np.array([rows[s][0] for s in members], np.int64))
             if found := traverse(tree, tree, groups, percent, lambda i, j: True):
                 yield arrow_rows(_EDGE, u=[i for i, _ in found], v=[j for _, j in found])
 
@@ -295,7 +304,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = WIDTH, b
     loads = members.groupBy("block").agg(F.sum("n").alias("load"), F.count("*").alias("size")).filter("size > 1")
     loads = loads.select("block", F.ceil(F.greatest(F.col("load") / block, F.col("size") * 500 / block)).cast("int").alias("chunks"))
     members = members.join(loads, "block").withColumn("chunk", F.pmod(F.xxhash64("sid"), "chunks").cast("int"))
-    fetched = members.join(docs, docs["doc_id"] == members["low"]).select("sid", "block", "chunks", "chunk", "text")
+    fetched = docs.join(members.hint("merge"), docs["doc_id"] == members["low"]).select("sid", "block", "chunks", "chunk", "text")
     members = members.select("sid", "block", "chunks", "chunk")
 
     def link(rows: DataFrame) -> DataFrame:
