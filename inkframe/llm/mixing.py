@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from .common import stash
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 1024
 _OWN = ("mix_tokens", "mix_key", "mix_hash", "mix_block")
 
 
