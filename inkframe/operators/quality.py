@@ -51,7 +51,8 @@ def coverage(chars: DataFrame, alphabet: DataFrame, by: list[str]) -> DataFrame:
     """(by..., class, covered, total, pct) of the alphabet's classes. ``chars``: (by..., char)."""
     sizes = alphabet.groupBy("class").agg(F.count("*").alias("total"))
     hit = chars.join(alphabet, "char").groupBy(*by, "class").agg(F.count_distinct("char").alias("covered"))
-    keys = chars.select(*by).distinct().crossJoin(F.broadcast(sizes)) if by else sizes  # a row a class, of four
+    classes = F.array(*[F.lit(r["class"]) for r in alphabet.select("class").distinct().collect()])  # a handful of names
+    keys = chars.select(*by).distinct().withColumn("class", F.explode(classes)).join(sizes, "class") if by else sizes
     joined = keys.join(hit, [*by, "class"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
     return joined.select(*by, "class", "covered", "total", F.round(F.col("covered") / F.col("total") * 100, 1).alias("pct"))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.operators import kernels, runs, stateful
+from inkframe.operators import kernels, layout, runs, stateful
 from inkframe.plans.text_queries import read
+from inkframe.sources import dims
+from inkframe.streaming import counts
 
 
 def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +108,29 @@ def process_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.raster_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 6, kernel, "vec_id long, width long, height long, ink_px long, page_mean double")
 
 
-QUERIES = {f.__name__: f for f in (signal_runs, merge_close_runs, moving_average_same, row_col_projection, ink_bbox, line_contamination, ncc_pairs, percentile_stretch, similarity_ratio, weighted_variant, band_alignment, component_stats, glyph_stats, process_cells)}
+def document_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every glyph that sets the benchmark texts."""
+    return layout.placements(read(spark, sf_dir, "benchmark"), "item_id", dims.dummy_bank(spark))
+
+
+def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark texts as page images; their digests."""
+    small = layout.Layout(page_width=600, page_height=800, margin_left=40, margin_top=40)
+    pages = layout.rendered(read(spark, sf_dir, "benchmark"), "item_id", dims.dummy_bank(spark), small)
+    return pages.select("item_id", "n_glyphs", "n_lines", F.length("png").alias("png_bytes"), F.sha2("png", 256).alias("png_sha256"))
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.event_windows(read(spark, sf_dir, "events"))
+
+
+QUERIES = {f.__name__: f for f in (document_placements, rendered_pages, event_windows, signal_runs, merge_close_runs, moving_average_same, row_col_projection, ink_bbox, line_contamination, ncc_pairs, percentile_stretch, similarity_ratio, weighted_variant, band_alignment, component_stats, glyph_stats, process_cells)}
 
 _S = "s AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 _RUNS = f"{_S}, a AS (SELECT vec_id, i, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS island FROM s WHERE v > 0), r AS (SELECT vec_id, min(i) AS start, max(i) + 1 AS stop FROM a GROUP BY vec_id, island)"
 
 ORACLES = {
+    "event_windows": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2",
     "signal_runs": f"WITH {_RUNS} SELECT * FROM r",
     "merge_close_runs": f"""
 WITH {_RUNS}, n AS (SELECT *, CASE WHEN start - lag(stop) OVER (PARTITION BY vec_id ORDER BY start) < 2 THEN 0 ELSE 1 END AS new FROM r),
