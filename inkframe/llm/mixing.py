@@ -9,7 +9,8 @@ totals first and rows of a block second, so a source with a third of all rows is
 
 Null and empty texts have no tokens; they are given as often as their source's whole epochs. A source
 without tokens is given once. Rows without source are a source of their own. Repeated rows count
-each. Extra columns are kept. An empty table gives an empty result.
+each. Extra columns are kept, but for those that have a name of a result column. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql.window import Window
 from .common import stash
 
 BLOCK_ROWS = 1024
-_OWN = ("mix_tokens", "mix_key", "mix_hash", "mix_block")
 
 
 def token_count(text: Column) -> Column:
@@ -68,6 +68,9 @@ def mix(docs: DataFrame, budget: float | None = None, max_repeats: float | None
     mix_tokens, mix_weight (of the source), mix_epochs (of the source), mix_copy (0, 1, ...),
     mix_position (0 to 1, place in the mixed stream) and mix_block (the stream in ``out_blocks`` parts).
     """
+    own_columns = ("mix_tokens", "mix_weight", "mix_epochs", "mix_copy", "mix_position", "mix_block")
+    columns = [c for c in docs.columns if c.lower() not in own_columns]
+    docs = docs.select("doc_id", "text", "source", F.struct(*columns).alias("mix_row"))
     rows = docs.count()
     blocks = max(1, -(-rows // BLOCK_ROWS))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
@@ -100,4 +103,4 @@ def mix(docs: DataFrame, budget: float | None = None, max_repeats: float | None
     placed = placed.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     position = F.least(F.lit(1.0), (F.col("mix_copy") + F.when(F.col("source_tokens") > 0, at / F.col("source_tokens")).otherwise(0.0)) / F.col("mix_epochs"))
     placed = placed.withColumn("mix_position", position)
-    return placed.select(*docs.columns, "mix_tokens", "mix_weight", "mix_epochs", "mix_copy", "mix_position", F.least(F.lit(out_blocks - 1), F.floor(F.col("mix_position") * out_blocks)).cast("int").alias("mix_block"))
+    return placed.select("mix_row.*", "mix_tokens", "mix_weight", "mix_epochs", "mix_copy", "mix_position", F.least(F.lit(out_blocks - 1), F.floor(F.col("mix_position") * out_blocks)).cast("int").alias("mix_block"))

@@ -166,7 +166,7 @@ class Page:
         found, top = self.root, -1.0
         for node in self.nodes:
             size = total.get(id(node), 0)
-            score = size * node.prior * (1 + 0.02 * min(node.depth, 10))
+            score = size * node.prior * (1 + 0.05 * min(node.depth, 10))
             if score > top:
                 found, top = node, score
         return found, max(top, 0.0)
