@@ -77,17 +77,27 @@ def char_widths(bank: DataFrame, char_height: int, gap: int) -> DataFrame:
     return bank.groupBy("char").agg((F.max(width) + gap).cast("long").alias("width"))
 
 
+def width_of(word: Column, sizes: dict[str, int], default: int) -> Column:
+    """The sum of a word's character widths; a character that ``sizes`` lacks in either case has the default.
+
+    Each character is translated to one whose code point is its width, so nothing is exploded or joined.
+    """
+    widths = {c.swapcase(): w for c, w in sizes.items() if len(c) == 1 and len(c.swapcase()) == 1} | {c: w for c, w in sizes.items() if len(c) == 1}
+    base, other = 0x100, "\u0001"
+    known = "".join(sorted(widths))
+    bare = F.regexp_replace(word, "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in known) + "]", other)
+    coded = F.translate(bare, known + other, "".join(chr(base + widths[c]) for c in known) + chr(base + default))
+    return F.aggregate(F.split(coded, ""), F.lit(0).cast("long"), lambda total, c: total + F.when(c != "", F.ascii(c) - base).otherwise(0))
+
+
 def word_widths(docs: DataFrame, key: str, bank: DataFrame, char_height: int = 30, gap: int = 2) -> DataFrame:
-    """(key, pos, word, width) for each word; characters outside the bank take three tenths of the height."""
-    sizes = char_widths(bank, char_height, gap)
-    keys = sizes.select("char", "width")
+    """(key, pos, word, width) for each word; characters outside the bank take three tenths of the height.
+
+    The bank's widths, a dimension table of a row a character, are literals of the plan.
+    """
+    sizes = {r["char"]: r["width"] for r in char_widths(bank, char_height, gap).collect()}
     spread = docs.select(key, F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    chars = spread.select(key, "pos", "word", F.explode(characters(F.col("word"))).alias("token"))
-    exact = keys.select(F.col("char").alias("c1"), F.col("width").alias("w1"))
-    other = keys.select(F.col("char").alias("c2"), F.col("width").alias("w2"))
-    joined = chars.join(exact, F.col("token") == F.col("c1"), "left").join(other, swap_case(F.col("token")) == F.col("c2"), "left")
-    width = F.coalesce("w1", "w2", F.lit(int(char_height * 0.3)))
-    return joined.groupBy(key, "pos", "word").agg(F.sum(width).cast("long").alias("width"))
+    return spread.withColumn("width", width_of(F.col("word"), sizes, int(char_height * 0.3)))
 
 
 def wrap_lines(words: DataFrame, key: str, left: int = 100, right: int = 1100, gap: int = 30) -> DataFrame:
