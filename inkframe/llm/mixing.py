@@ -70,7 +70,8 @@ def mix(docs: DataFrame, budget: float | None = None, max_repeats: float | None
     """
     own_columns = ("mix_tokens", "mix_weight", "mix_epochs", "mix_copy", "mix_position", "mix_block")
     columns = [c for c in docs.columns if c.lower() not in own_columns]
-    docs = docs.select("doc_id", "text", "source", F.struct(*columns).alias("mix_row"))
+    kept = [F.col(f"mix_in_{k}").alias(c) for k, c in enumerate(columns)]
+    docs = docs.select("doc_id", "text", "source", *[docs[c].alias(f"mix_in_{k}") for k, c in enumerate(columns)])
     rows = docs.count()
     blocks = max(1, -(-rows // BLOCK_ROWS))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
@@ -103,4 +104,4 @@ def mix(docs: DataFrame, budget: float | None = None, max_repeats: float | None
     placed = placed.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     position = F.least(F.lit(1.0), (F.col("mix_copy") + F.when(F.col("source_tokens") > 0, at / F.col("source_tokens")).otherwise(0.0)) / F.col("mix_epochs"))
     placed = placed.withColumn("mix_position", position)
-    return placed.select("mix_row.*", "mix_tokens", "mix_weight", "mix_epochs", "mix_copy", "mix_position", F.least(F.lit(out_blocks - 1), F.floor(F.col("mix_position") * out_blocks)).cast("int").alias("mix_block"))
+    return placed.select(*kept, "mix_tokens", "mix_weight", "mix_epochs", "mix_copy", "mix_position", F.least(F.lit(out_blocks - 1), F.floor(F.col("mix_position") * out_blocks)).cast("int").alias("mix_block"))

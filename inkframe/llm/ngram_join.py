@@ -135,7 +135,8 @@ def _postings(rank, percent: int, width: int):
 
 def _groups(percent: int, most: int):
     """Rows (grp, sid) of the sets that share a shingle, sizes never too far apart from one to the next; groups
-    that a task has met before are left out. Of larger groups rows (sid, first), as they stream by."""
+    that a task has met before are left out. Of larger groups rows with their first set, as they stream by,
+    and each set as a group of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -158,7 +159,7 @@ def _groups(percent: int, most: int):
                 if len(own) > 1 and (key := hash(own.tobytes())) not in met:
                     met.add(key)
                     if len(own) > most:
-                        out.append((own[1:] * 0, own[1:], own[1:] * 0 + own[0]))
+                        out.append((own[1:], own[1:], own[1:] * 0 + own[0]))
                     else:
                         grp = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
                         out.append((np.full(len(own), grp), own, np.zeros(len(own), np.int64)))
@@ -178,7 +179,7 @@ def _groups(percent: int, most: int):
                 goes = np.logical_and.accumulate((rows[0] == token) & (100 * ns[:-1] >= percent * ns[1:]))
                 k = int(goes.sum())
                 if k:
-                    out.append((rows[2][:k] * 0, rows[2][:k], rows[2][:k] * 0 + first))
+                    out.append((rows[2][:k], rows[2][:k], rows[2][:k] * 0 + first))
                     large = (token, int(rows[1][k - 1]), first)
                 if k == rows.shape[1]:
                     continue
@@ -194,7 +195,7 @@ def _groups(percent: int, most: int):
                 close(token[:at], n[:at], sid[:at])
                 if len(sid) - at > most:
                     large = (int(token[-1]), int(n[-1]), int(sid[at]))
-                    out.append((sid[at:] * 0, sid[at:], sid[at:] * 0 + sid[at]))
+                    out.append((sid[at:], sid[at:], sid[at:] * 0 + sid[at]))
                     kept = kept[:, :0]
                 else:
                     kept = kept[:, at:]
@@ -213,6 +214,11 @@ def _candidates(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = Groups()
         for table in runs(batches, "grp"):
+            firsts = table.column("first").to_pylist()
+            if any(firsts):
+                pairs = [(u, v) for u, v in zip(table.column("sid").to_pylist(), firsts, strict=True) if v and groups.join(u, v)]
+                yield arrow_rows(_EDGE, u=[u for u, _ in pairs], v=[v for _, v in pairs])
+                continue
             rows = dict(zip(table.column("sid").to_pylist(), zip(table.column("n").to_pylist(), table.column("counts").to_pylist(), strict=True), strict=True))
             if len({groups.find(s) for s in rows}) < 2:
                 continue
@@ -294,9 +300,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = WIDTH, b
     rank = spark.sparkContext.broadcast(np.minimum(counts, (1 << 23) - 1))
 
     posted = docs.mapInArrow(_postings(rank, percent, width), _ddl(_POST))
-    grouped = stash(posted.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_groups(percent, large), _ddl(_GROUP)), "groups")
-    mapped = grouped.filter("first = 0").select("grp", "sid").join(maps, "sid").repartition("grp").sortWithinPartitions("grp")
-    near = mapped.mapInArrow(_candidates(percent), _ddl(_EDGE)).union(grouped.filter("first <> 0").select(F.col("sid").alias("u"), F.col("first").alias("v")))
+    grouped = posted.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_groups(percent, large), _ddl(_GROUP))
+    mapped = grouped.join(maps, "sid").repartition("grp").sortWithinPartitions("grp", "first")
+    near = mapped.mapInArrow(_candidates(percent), _ddl(_EDGE))
     blocks = components(near).withColumnRenamed("node", "sid").withColumnRenamed("label", "block")
 
     classes = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"))
@@ -312,11 +318,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = WIDTH, b
         return dealt.mapInArrow(_link_tasks(percent, width), _ddl(_LINK))
 
     alone = fetched.select(F.when(F.col("chunks") == 1, F.col("block")).otherwise(F.xxhash64("block", "chunk")).alias("task"), F.lit(0).alias("role"), "sid", "text")
-    found = stash(link(alone), "chunks")
-    labels = found.select(F.col("u").alias("sid"), F.col("v").alias("label"))
+    found = link(alone)
     if members.filter("chunks > 1").limit(1).count():
-        labels = _across_chunks(docs, members, classes, found, link)
-    labels = labels.join(classes.select("sid", "low"), "sid")
+        labels = _across_chunks(docs, members, classes, stash(found, "chunks"), link)
+    else:
+        labels = found.select(F.col("u").alias("sid"), F.col("v").alias("label"))
+    labels = stash(labels.join(classes.select("sid", "low"), "sid"), "linked")
     lows = labels.groupBy("label").agg(F.min("low").alias("component"))
     labels = labels.join(lows, "label").select("sid", "component")
     copies = classes.join(labels, "sid", "left").select("sid", F.coalesce("component", "low").alias("component"))
