@@ -243,20 +243,6 @@ def wander(image: np.ndarray, amount: float, seed: int = 13) -> np.ndarray:
     return np.take_along_axis(image, rows[..., None] if image.ndim == 3 else rows, axis=0)
 
 
-def degrade(image: np.ndarray, kind: str, level: float, seed: int = 42) -> np.ndarray:
-    """One of the degradations: resolution (width), brightness (offset), noise (sigma), ink (share lost)."""
-    if kind == "resolution":
-        h, w = image.shape[:2]
-        return resize(resize(image, max(1, int(h * level / w)), int(level)), h, w)
-    if kind == "brightness":
-        return np.clip(image.astype(np.float64) + level, 0, 255).astype(np.uint8)
-    if kind == "noise":
-        return np.clip(image + np.random.default_rng(seed).normal(0, level, image.shape), 0, 255).astype(np.uint8)
-    if kind == "ink":
-        return np.clip(image + (255.0 - image) * level, 0, 255).astype(np.uint8)
-    raise ValueError(kind)
-
-
 def from_struct(row: dict) -> np.ndarray:
     shape = (row["height"], row["width"]) if row["nChannels"] == 1 else (row["height"], row["width"], row["nChannels"])
     return np.frombuffer(bytes(row["data"]), np.uint8).reshape(shape)

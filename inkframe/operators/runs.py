@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,3 +66,34 @@ def nearest_interval(points: DataFrame, lines: list[tuple[int, float, float]], v
     """
     choices = [F.struct(F.greatest(F.lit(a) - value, value - F.lit(b), F.lit(0.0)).alias("d"), F.lit(k).cast("long").alias("line")) for k, a, b in lines]
     return points.withColumn("line", F.array_min(F.array(*choices))["line"])
+
+
+def gaussian(values: Column, sigma: float, truncate: float = 4.0) -> Column:
+    """An array smoothed by a Gaussian cut at ``truncate`` sigmas, mirrored at its ends; empty stays empty."""
+    reach = int(truncate * sigma + 0.5)
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    weights = [w / sum(raw) for w in raw]
+    n = F.size(values)
+
+    def near(i: Column) -> Column:
+        j = F.pmod(i, 2 * n)
+        return F.get(values, F.when(j < n, j).otherwise(2 * n - 1 - j)).cast("double")
+
+    def smooth(i: Column) -> Column:
+        steps = F.array(*[F.struct(F.lit(k - reach).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
+        return F.aggregate(steps, F.lit(0.0), lambda total, s: total + s["w"] * near(i + s["k"]))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), smooth)).when(n == 0, F.array().cast("array<double>"))
+
+
+def split_bands(bands: DataFrame, key: str, values: str, sigma: float = 3.0, valley: float = 0.2, min_gap: int = 4) -> DataFrame:
+    """(key, start, stop): bands parted where their smoothed signal falls to ``valley`` of its maximum or less; a band
+    with at most one part stays as it is. ``bands``: (key, start, stop, values of the band)."""
+    rows = bands.select(F.struct(key, "start", "stop").alias("band"), F.posexplode(gaussian(F.col(values), sigma)).alias("i", "s"))
+    most = F.max("s").over(Window.partitionBy("band"))
+    rows = rows.withColumn("v", F.col("s") - valley * F.when(most > 0, most).otherwise(1.0))
+    parts = merge_runs(find_runs(rows.select("band", F.col("i").cast("long").alias("i"), "v"), "band"), "band", min_gap)
+    n = F.count("*").over(Window.partitionBy("band"))
+    split = parts.withColumn("n", n).filter("n > 1").select(F.col(f"band.{key}").alias(key), (F.col("band.start") + F.col("start")).alias("start"), (F.col("band.start") + F.col("stop")).alias("stop"), "band")
+    whole = bands.join(split.select(F.col(f"band.{key}").alias(key), F.col("band.start").alias("start")).distinct(), [key, "start"], "left_anti")
+    return whole.select(key, "start", "stop").unionByName(split.drop("band"))

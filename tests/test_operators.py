@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkframe.functions import codec, params
-from inkframe.operators import kernels, layout, quality, runs, stateful
+from inkframe.operators import kernels, layout, photo, quality, runs, stateful
 from inkframe.sources import dims
 
 
@@ -97,8 +97,11 @@ def test_kernels_on_a_cell():
     assert kernels.ncc(cell, cell) == pytest.approx(1) and kernels.ncc(cell, cell * 0) == 0
     assert (kernels.wander(cell, 0) == cell).all() and kernels.wander(cell, 0.5).shape == cell.shape
     assert kernels.stroke_width(np.pad(np.full((4, 40), 255, np.uint8), 3)) == pytest.approx(3, abs=1)
-    for kind, level in (("resolution", 20), ("brightness", 30), ("noise", 10), ("ink", 0.5)):
-        assert kernels.degrade(cell, kind, level).shape == cell.shape
+    for kind, (_, levels) in photo.LOSSES.items():
+        assert (photo.degrade(cell, kind, levels[0]) == cell).mean() > 0.99
+        assert photo.degrade(cell, kind, levels[-1]).shape == cell.shape
+    assert (photo.degrade(cell, "lighting", 0.5)[0, 0] == 127).all()
+    assert (photo.degrade(cell, "ink", 0.5)[30, 20] == 137).all() and (photo.degrade(cell, "ink", 0.5)[0, 0] == 255).all()
     assert kernels.glyph_stats(np.zeros((0, 3), np.uint8))[-2] in (True, False)
 
 
