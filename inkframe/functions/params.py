@@ -92,3 +92,16 @@ def cramming(x: Column, start: Column, right: Column, amount: float) -> Column:
     """The factor of gaps beyond 65 % of a line."""
     part = F.least(F.lit(1.0), (x - start) / F.greatest(F.lit(1.0), right - start))
     return F.when(x > start, 1.0 - (1.0 - amount) * part).otherwise(1.0)
+
+
+def page_progress(line: Column, lines: Column) -> dict[str, Column]:
+    """How writing changes down a page: jitter, spacing and size factors."""
+    part = line / F.greatest(F.lit(1), lines)
+    return {"jitter_scale": 1.0 + 0.3 * part, "spacing_scale": 1.0 - 0.05 * part, "size_scale": 1.0 - 0.03 * part}
+
+
+def alpha_factor(darkness: Column, pressure: Column, fatigue: Column, fade: Column, y: Column, page_height: Column) -> Column:
+    """Ink strength from darkness, the pressure drawn for a glyph (0.35 at least) and fading down the page (0.25 at least)."""
+    pressed = F.greatest(F.lit(0.35), 1.0 - pressure * fatigue)
+    faded = F.greatest(F.lit(0.25), 1.0 - fade * y / F.greatest(F.lit(1), page_height))
+    return darkness * pressed * faded

@@ -133,3 +133,40 @@ def contact_sheet(glyphs: DataFrame, sheet: str, order: list[str], columns: int
 def without(glyphs: DataFrame, stems: list[str]) -> DataFrame:
     """The glyphs that are left when some are deleted; a rewrite, as the tables aren't edited in place."""
     return glyphs.filter(~F.col("stem").isin(*stems))
+
+
+def fallback_capitals(bank: DataFrame, letters: list[str], scale: float = 1.30) -> DataFrame:
+    """(char, variant, w, h) for the capitals among ``letters`` that a bank lacks, from the first variant of the small letter."""
+    small = bank.filter(F.col("char").isin([c.lower() for c in letters]))
+    first = small.groupBy("char").agg(F.min_by(F.struct("w", "h"), "variant").alias("s"))
+    made = first.select(F.upper("char").alias("char"), F.lit(0).alias("variant"), (F.col("s.w") * scale).cast("int").alias("w"), (F.col("s.h") * scale).cast("int").alias("h"))
+    return made.join(bank.select("char").distinct(), "char", "left_anti")
+
+
+def read_bank_file(spark: SparkSession, path: str) -> DataFrame:
+    """(char, variant, file) of a bank file, a JSON object from characters to lists of files."""
+    found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("char", "files"))
+    return found.select("char", F.posexplode("files").alias("variant", "file"))
+
+
+def read_audit(spark: SparkSession, path: str, default: float = 0.85) -> DataFrame:
+    """(stem, quality) of an audit report; a glyph without a score has the default."""
+    entries = spark.read.schema("per_glyph array<struct<file: string, quality_score: double>>").option("multiLine", True).json(path)
+    rows = entries.select(F.explode("per_glyph").alias("g"))
+    return rows.select(F.regexp_extract("g.file", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), F.coalesce("g.quality_score", F.lit(default)).alias("quality"))
+
+
+#: A profile's layout where its metadata don't say.
+LAYOUT = {"inter_letter_gap_mean": 3.0, "inter_letter_gap_std": 2.0, "inter_word_gap_mean": 22.0, "inter_word_gap_std": 5.0, "baseline_drift_amplitude": 2.0}
+
+
+def with_layout(profiles: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Profiles with the layout of metadata (profile_id, layout map<string, double>), each field by itself defaulted."""
+    joined = profiles.join(metadata.select("profile_id", "layout"), "profile_id", "left")
+    return joined.withColumns({k: F.coalesce(F.element_at("layout", k), F.lit(v)) for k, v in LAYOUT.items()}).drop("layout")
+
+
+def uploaded_pages(uploads: DataFrame) -> DataFrame:
+    """(request_id, page, content) of uploads (request_id, page, place, content): the page that a field names, else the place in order."""
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("place"))
+    return uploads.withColumn("page", F.coalesce("page", place)).select("request_id", "page", "content")
