@@ -73,17 +73,21 @@ def gaussian(values: Column, sigma: float, truncate: float = 4.0) -> Column:
     reach = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     weights = [w / sum(raw) for w in raw]
-    n = F.size(values)
 
-    def near(i: Column) -> Column:
-        j = F.pmod(i, 2 * n)
-        return F.get(values, F.when(j < n, j).otherwise(2 * n - 1 - j)).cast("double")
+    def whole(v: Column) -> Column:
+        n = F.size(v)
 
-    def smooth(i: Column) -> Column:
-        steps = F.array(*[F.struct(F.lit(k - reach).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
-        return F.aggregate(steps, F.lit(0.0), lambda total, s: total + s["w"] * near(i + s["k"]))
+        def near(i: Column) -> Column:
+            j = F.pmod(i, 2 * n)
+            return F.get(v, F.when(j < n, j).otherwise(2 * n - 1 - j)).cast("double")
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), smooth)).when(n == 0, F.array().cast("array<double>"))
+        def smooth(i: Column) -> Column:
+            steps = F.array(*[F.struct(F.lit(k - reach).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
+            return F.aggregate(steps, F.lit(0.0), lambda total, s: total + s["w"] * near(i + s["k"]))
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), smooth)).when(n == 0, F.array().cast("array<double>"))
+
+    return F.get(F.transform(F.array(values), whole), F.lit(0))  # bound once, or each access would compute the array again
 
 
 def split_bands(bands: DataFrame, key: str, values: str, sigma: float = 3.0, valley: float = 0.2, min_gap: int = 4) -> DataFrame:
