@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.operators import kernels, layout, runs, stateful
-from inkframe.plans.text_queries import read
+from inkframe.plans.text_queries import read, texts
 from inkframe.sources import dims
 from inkframe.streaming import counts
 
@@ -85,12 +85,12 @@ def band_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of rasters drawn at four pixels a value."""
     kernel = lambda ink: [(n, *map(int, s)) for n, s in enumerate(kernels.components(ink > 60)[1])]
-    return kernels.raster_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 4, kernel, "vec_id long, component long, left long, top long, width long, height long, area long")
+    return kernels.raster_rows(texts(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 8, 4, kernel, "vec_id long, component long, left long, top long, width long, height long, area long")
 
 
 def glyph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kernel = lambda ink: [kernels.glyph_stats(255 - ink)]
-    return kernels.raster_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 4, kernel, "vec_id long, " + kernels.STATS)
+    return kernels.raster_rows(texts(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 8, 4, kernel, "vec_id long, " + kernels.STATS)
 
 
 def process_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def process_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         page = kernels.composite(kernels.ruled_paper(*glyph.shape[:2], spacing=6, margin=2), kernels.wander(glyph, 0.3))
         return [(glyph.shape[1], glyph.shape[0], int((glyph[:, :, 3] > 0).sum()), round(float(page.mean()), 3))]
 
-    return kernels.raster_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 6, kernel, "vec_id long, width long, height long, ink_px long, page_mean double")
+    return kernels.raster_rows(texts(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 8, 6, kernel, "vec_id long, width long, height long, ink_px long, page_mean double")
 
 
 def document_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def document_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark texts as page images; their digests."""
     small = layout.Layout(page_width=600, page_height=800, margin_left=40, margin_top=40)
-    pages = layout.rendered(read(spark, sf_dir, "benchmark"), "item_id", dims.dummy_bank(spark), small)
+    pages = layout.rendered(texts(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", dims.dummy_bank(spark), small)
     return pages.select("item_id", "n_glyphs", "n_lines", F.length("png").alias("png_bytes"), F.sha2("png", 256).alias("png_sha256"))
 
 

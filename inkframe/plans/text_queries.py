@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkframe.functions import codec
 from inkframe.operators import quality, text
 from inkframe.plans import sqltext as sql
+from inkframe.runtime import spread
 from inkframe.sources import dims
 
 
@@ -15,10 +16,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose rows take much work."""
+    return spread(read(spark, sf_dir, name).select(*columns))
+
+
 def glyph_review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyphs that setting all documents uses, reviewed: uses by category and quality."""
     bank = dims.dummy_bank(spark)
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     counts = docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     found = text.with_fallback(counts, bank)
     kind = codec.category(F.col("token")).alias("category")
@@ -29,13 +35,13 @@ def glyph_review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = read(spark, sf_dir, "documents").select(F.explode(text.characters(F.col("text"))).alias("char")).groupBy("char").agg(F.count("*").alias("n"))
+    chars = texts(spark, sf_dir, "documents", "text").select(F.explode(text.characters(F.col("text"))).alias("char")).groupBy("char").agg(F.count("*").alias("n"))
     rows = dims.alphabet(spark).join(chars, "char", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.select("char", "class", "n", F.when(F.col("n") == 0, "missing").when(F.col("n") < 3, "low").otherwise("sufficient").alias("status"))
 
 
 def char_coverage_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").filter("lang IS NOT NULL")
+    docs = texts(spark, sf_dir, "documents", "lang", "text").filter("lang IS NOT NULL")
     chars = docs.select("lang", F.explode(F.array_distinct(text.characters(F.col("text")))).alias("char")).distinct()
     return quality.coverage(chars, dims.alphabet(spark), ["lang"])
 
@@ -52,7 +58,7 @@ def bank_coverage_case_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    found = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.tokens(F.col("text")).alias("t"))
     return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.filter("t", lambda t: F.length(t) > 1)).cast("long").alias("n_ngrams"))
 
 
@@ -75,7 +81,7 @@ def variant_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peek_word_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    widths = text.word_widths(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", dims.dummy_bank(spark))
+    widths = text.word_widths(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", dims.dummy_bank(spark))
     return widths.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum("width").alias("total_width"), F.max("width").alias("max_width"))
 
 

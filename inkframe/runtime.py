@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _HERE = Path(__file__).resolve().parent
 
@@ -41,3 +41,14 @@ def ship(spark: SparkSession) -> None:
     path = Path(tempfile.mkdtemp(prefix="inkframe-zip-")) / name
     path.write_bytes(buffer.getvalue())
     spark.sparkContext.addPyFile(str(path))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan dealt evenly, where it has fewer partitions than the session has cores.
+
+    Scans are cut by bytes, but a row group goes to one task whole, so a small file's rows are one task's,
+    however much work they take. A larger scan is left as it is: nothing is shuffled once a table fills
+    the cores. Select the columns needed first.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
