@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkframe.functions.codec import parse_stem
-from inkframe.operators import kernels, quality
+from inkframe.operators import kernels, photo, quality
 from inkframe.sources import png
 
 MANIFEST = "page int, cell int, row int, col int, label string, variant int, display string"
@@ -170,3 +170,25 @@ def uploaded_pages(uploads: DataFrame) -> DataFrame:
     """(request_id, page, content) of uploads (request_id, page, place, content): the page that a field names, else the place in order."""
     place = F.row_number().over(Window.partitionBy("request_id").orderBy("place"))
     return uploads.withColumn("page", F.coalesce("page", place)).select("request_id", "page", "content")
+
+
+def drawn_fallbacks(spark: SparkSession, bank: DataFrame) -> DataFrame:
+    """(char, variant, png) of digits and punctuation that a bank lacks, drawn along pen paths: a row for each sign at most."""
+    rows = []
+    for sign in photo.PATHS:
+        rows.append((sign, 0, bytearray(png.encode(photo.drawn(sign)))))
+    return spark.createDataFrame(rows, "char string, variant int, png binary").join(bank.select("char").distinct(), "char", "left_anti")
+
+
+def markdown(report: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """(line, text) of a report, one row a phrase or category, as a Markdown table; bars in values are escaped.
+
+    Reports are small; the lines are numbered in one task.
+    """
+    bars = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in report.columns]
+    numbered = report.select(F.row_number().over(Window.orderBy(*order)).alias("n"), bars(cells).alias("text"))
+    body = numbered.select((F.col("n") + 3).cast("int").alias("line"), "text")
+    names = report.columns
+    head = [(0, f"## {title}"), (1, ""), (2, "| " + " | ".join(names) + " |"), (3, "|" + "---|" * len(names))]
+    return report.sparkSession.createDataFrame(head, "line int, text string").unionByName(body)

@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-from inkframe.operators import realism
+from inkframe.operators import kernels, photo, realism
 from inkframe.sources import dims, glyphs
 
 
@@ -65,3 +65,20 @@ def test_bank_audit_and_layout_files(spark, tmp_path):
 def test_fallback_capitals_only_where_missing(spark):
     bank = dims.dummy_bank(spark).filter("char IN ('a', 'b', 'B')")
     assert [tuple(r) for r in glyphs.fallback_capitals(bank, list("ABC")).collect()] == [("A", 0, 32, 52)]
+
+
+def test_drawn_signs(spark):
+    for sign in photo.PATHS:
+        glyph = photo.drawn(sign)
+        assert glyph[:, :, 3].max() == 220 and (glyph[:, :, 3] > 0).sum() >= 50 and min(glyph.shape[:2]) > 8
+    assert photo.drawn("a") is None
+    assert len(kernels.components(photo.drawn(":")[:, :, 3] > 0)[1]) == 2 and len(kernels.components(photo.drawn("8")[:, :, 3] > 0)[1]) == 1
+    bank = spark.createDataFrame([("7",), ("a",)], "char string")
+    made = {r.char: r for r in glyphs.drawn_fallbacks(spark, bank).collect()}
+    assert set(made) == set(photo.PATHS) - {"7"} and bytes(made["0"].png)[:4] == b"\x89PNG"
+
+
+def test_markdown(spark):
+    rows = spark.createDataFrame([("b|c", 2.5), ("a", None)], "name string, score double")
+    found = [r.text for r in glyphs.markdown(rows, "Scores", ["name"]).orderBy("line").collect()]
+    assert found == ["## Scores", "", "| name | score |", "|---|---|", "| a |  |", "| b\\|c | 2.5 |"]
