@@ -1,9 +1,12 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty of other candidates.
 
-Candidates of the method are runs of 16 or more key characters with a letter and a digit whose
-neighbourhood names something sensitive. A candidate's novelty is the number of bytes that it adds to
-the compressed neighbourhood, over its length, by a compressor primed with a dictionary of code
-identifiers; what the neighbourhood and the dictionary don't explain is reported as `novel`.
+Candidates of the method are runs of 16 or more key characters after something sensitive: a word in
+the 48 characters before them (or before a `=` in them), or an adjoining candidate or assignment that
+has such a word (lines of a PEM block, parts of a JWT). A candidate's novelty is the number of bytes
+that it adds to the compressed neighbourhood, over its length, by a compressor primed with a dictionary
+of code identifiers. It is held against the entropy of random text in the candidate's own alphabet;
+what the neighbourhood and the dictionary don't explain is reported as `novel`. Parts joined by dots
+are one token: they are reported together. The short last line of a PEM block goes with the line before.
 
 Null and empty texts have no spans. Spans are code points, the end exclusive.
 """
@@ -11,7 +14,9 @@ Null and empty texts have no spans. Spans are code points, the end exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +30,11 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _SENSITIVE = re.compile(r"passw|secret|token|api|key|auth|bearer|credential|private|signature|session", re.I | re.A)
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,80}[0-9])(?=[0-9+/_=-]{0,80}[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
-AROUND, NOVELTY = 96, 0.7
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_ADJOINS = re.compile(r"[\s.,\"'+\\#*>|]{1,32}")
+_LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_LAST = re.compile(r"\s{1,32}([A-Za-z0-9+/]{1,15}={0,2})(?=\s{1,32}-----END)")
+AROUND, NOVELTY = 96, 0.9
 IDENTIFIERS = (
     "abstract access account address algorithm append application argument array assert async attribute author await backend base64 batch bearer "
     "boolean buffer cache callback catch certificate class client cluster column commit config connection const constructor content context continue "
@@ -64,18 +72,86 @@ class Novelty:
         return max(0, self.size(around + candidate) - self.size(around)) / len(candidate)
 
 
+def random_share(candidate: str) -> float:
+    """Bytes a character of random text in the alphabet that ``candidate`` shows."""
+    if re.fullmatch(r"[0-9]+", candidate):
+        size = 10
+    elif re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate):
+        size = 16
+    else:
+        size = sum(n for n, kind in ((10, "[0-9]"), (26, "[a-z]"), (26, "[A-Z]")) if re.search(kind, candidate)) + len(set(candidate) & set("+/_=-"))
+    if len(candidate) >= 4 * size:  # long enough to show each character
+        size = len(set(candidate))
+    return math.log2(max(2, size)) / 8
+
+
+def _letter_pairs() -> dict[str, float]:
+    """Bits of each letter after another, or first, by the words of the dictionary."""
+    letters, words = "abcdefghijklmnopqrstuvwxyz", re.findall("[a-z]{3,13}", IDENTIFIERS)
+    pairs = Counter(w[k : k + 2] for w in words for k in range(len(w) - 1))
+    single = Counter("".join(words))
+    total = sum(single.values()) + 26
+    bits = {x: -math.log2((single[x] + 1) / total) for x in letters}
+    for x in letters:
+        after = sum(pairs[x + y] for y in letters)
+        bits |= {x + y: -math.log2((pairs[x + y] + 5 * (single[y] + 1) / total) / (after + 5)) for y in letters}
+    return bits
+
+
+_BITS = _letter_pairs()
+
+
+def _worded(candidate: str) -> bool:
+    """Whether it is mostly letters whose pairs are more usual in words than in random letters."""
+    runs = [r.lower() for r in _LETTERS.findall(candidate)]
+    n = sum(map(len, runs))
+    if 4 * n < 3 * len(candidate):
+        return False
+    return sum(_BITS[r[0]] + sum(_BITS[r[k : k + 2]] for k in range(len(r) - 1)) + 2 for r in runs) < 2 + n * math.log2(26)
+
+
+def _is_novel(share: float, candidate: str) -> bool:
+    """Words cost no less than letters at random where they are short, so short candidates must cost more;
+    random ones do, as a compressor hardly finds their alphabet."""
+    bound = random_share(candidate)
+    return share >= max(NOVELTY * bound, min(bound, math.log2(26) / 8) * 0.95 + 4.7 / len(candidate))
+
+
+def _sensitive(text: str, a: int, b: int) -> bool:
+    inner = text.rfind("=", a, a + len(text[a:b].rstrip("=")))
+    return bool(_SENSITIVE.search(text, max(0, a - 48), a if inner < 0 else inner))
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     if not _SENSITIVE.search(text):
         return []
-    found = []
+    tokens: list[list[tuple[int, int, bool]]] = []  # candidates joined by dots, and whether each is novel
+    at, reach, named, last = 0, 0, 0, -1  # the next of ``taken``, their ends, the end of the last sensitive stretch and candidate
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(a < end and start < b for start, _, end in taken):
+        while at < len(taken) and taken[at][0] < b:
+            start, kind, end = taken[at]
+            reach, at = max(reach, end), at + 1
+            if kind == 0 and start < a:
+                named = max(named, end)
+        joined = 0 < named < a and _ADJOINS.fullmatch(text, named, a) is not None
+        if a < named or joined or _sensitive(text, a, b):
+            named = max(named, b)
+        else:
+            continue
+        if a < reach:
+            named = max(named, reach)
             continue
-        front, back = text[max(0, a - AROUND) : a], text[b : b + AROUND]
-        if _SENSITIVE.search(front[-48:]) and novelty.share(front + " " + back + " ", m.group()) >= NOVELTY:
-            found.append((a, 3, b))
-    return found
+        around = text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND] + " "
+        piece = (a, b, not _worded(m.group()) and _is_novel(novelty.share(around, m.group()), m.group()))
+        if last + 1 == a and text[last] == ".":
+            tokens[-1].append(piece)
+        else:
+            tokens.append([piece])
+        last = b
+    found = [(a, 3, b) for token in tokens if any(new for *_, new in token) for a, b, _ in token]
+    ends = {b for _, _, b in found}
+    return sorted(found + [(m.start(1), 3, m.end(1)) for m in _LAST.finditer(text) if m.start() in ends])
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:

@@ -159,3 +159,32 @@ def test_novel_secrets_and_redaction(spark):
     rows = spark.createDataFrame([(1, "token = abcdefgh12 end", 5, "x"), (2, "clean", 5, "y"), (3, None, None, None)], SCHEMA + ", n_chars long, spans string")
     found = {r.doc_id: r for r in secrets.without_secrets(rows).collect()}
     assert (found[1].text, found[1].n_chars) == ("[secret] end", 12) and found[2].text == "clean" and found[3].text is None
+
+
+def test_whole_keys_and_tokens_are_novel():
+    import base64
+    import random
+
+    r, novelty = random.Random(3), secrets.Novelty()
+    draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    spans = lambda t: [(a, b) for a, _, b in secrets.novel_spans(t, secrets.base_spans(t), novelty)]
+    body = base64.b64encode(r.randbytes(1190)).decode()
+    lines = [body[k : k + 64] for k in range(0, len(body), 64)]
+    pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----\nand plain words after it"
+    assert len(lines) == 25 and len(lines[-1]) == 52 and [pem[a:b] for a, b in spans(pem)] == lines
+    short = pem.replace(lines[-1], "q2w=")
+    assert [short[a:b] for a, b in spans(short)] == [*lines[:-1], "q2w="]
+    coded = lambda data: base64.urlsafe_b64encode(data).decode().rstrip("=")
+    for k in range(100):
+        parts = [coded(b'{"alg":"HS256","typ":"JWT"}'), coded(f'{{"sub":"{r.randrange(10**9)}","name":"user {k}"}}'.encode()), coded(r.randbytes(32))]
+        token = "Authorization: Bearer " + ".".join(parts) + "\nHost: x"
+        assert [token[a:b] for a, b in spans(token)] == parts
+    for alphabet in ("0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHabcdefgh", "1234567890"):
+        for n in (20, 64, 128, 256, 2048):
+            key = draw(alphabet, n)
+            plain = bool(secrets.base_spans(key))  # 32 digits and more are of the fixed patterns
+            assert spans(f'call auth("{key}") here') == ([] if plain else [(11, 11 + n)]), (alphabet, n)
+    late = "auth " + "Q" + draw("abcdefghijklmnopqrstuvwxyz", 100) + "7"
+    assert spans(late) == [(5, 107)] and spans("session=Zk3vQ9pLw2Xr7TnB5yHc8Jd4") == [(0, 32)]
+    for words in ("the key to misunderstandings and internationalization", "auth_provider getAuthenticationCredentialProvider", "private /usr/local/share/configuration/settings", "key ---------------------------------", "key -=-=-=-=-=-=-=-=-=-=-="):
+        assert spans(words) == [], words
