@@ -5,6 +5,9 @@ its host and all subdomains. The keys of a URL are its host's suffixes at label
 beginnings of its path that have a listed length. Keys that pass the Bloom filter (one 64-bit block a
 key, three bits in it) go to the exact join, which removes false positives; the longest entry wins.
 
+Unnamed entries are compared with the canonical URL: no user, default port or trailing dot in its host,
+`/` for an empty path. Named ones (the rules) and the columns host and path go by the URL as it stands.
+
 Null URLs and those without :// have an empty host and path and fit nothing. Decisions are made once
 for each distinct URL. An empty list lets all pass.
 """
@@ -26,6 +29,22 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def canonical_host(url: Column, host: Column) -> Column:
+    host = F.regexp_replace(host, r"^.*@", "")
+    scheme = F.lower(F.substring_index(url, "://", 1))
+    host = F.when(scheme == "http", F.regexp_replace(host, r":(80)?$", "")).when(scheme == "https", F.regexp_replace(host, r":(443)?$", "")).otherwise(host)
+    return F.regexp_replace(host, r"\.+$", "")
+
+
+def url_forms(urls: DataFrame) -> DataFrame:
+    """(url, host, path, raw, canonical) for (url, host, path): one row where both forms are the same, else two."""
+    other = urls.withColumns({"its_host": canonical_host(F.col("url"), F.col("host")), "its_path": F.when(F.col("path") == "", "/").otherwise(F.col("path"))})
+    form = lambda host, path, raw, canonical: F.struct(F.col(host).alias("host"), F.col(path).alias("path"), F.lit(raw).alias("raw"), F.lit(canonical).alias("canonical"))
+    same = (F.col("host") == F.col("its_host")) & (F.col("path") == F.col("its_path"))
+    forms = F.when(same, F.array(form("host", "path", True, True))).otherwise(F.array(form("host", "path", True, False), form("its_host", "its_path", False, True)))
+    return other.select("url", F.explode(forms).alias("form")).select("url", "form.*")
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks))
 
@@ -42,12 +61,12 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 
 
 def url_keys(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    """(url, key) for each suffix of the host and each listed length of the path's beginning."""
+    """(url, raw, canonical, key) for each suffix of the host and each listed length of the path's beginning."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     fronts = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(fronts, lambda p: F.concat(s, p))))
-    return urls.select("url", F.explode(pairs).alias("key"))
+    return urls.select("url", "raw", "canonical", F.explode(pairs).alias("key"))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, broadcast_keys: int = 200_000) -> DataFrame:
@@ -65,16 +84,19 @@ def judge_urls(pages: DataFrame, listed: DataFrame, broadcast_keys: int = 200_00
     if not count:
         return with_parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
     distinct = pages.select("url").filter("url IS NOT NULL").distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    keys = url_keys(distinct.filter("host <> ''"), lengths).withColumns({"block": _block(F.col("key"), blocks), "mask": _mask()})
-    possible = keys.join(small(bloom(listed, blocks)), "block").filter("(bits & mask) = mask").select("url", "key")
-    hits = possible.join(small(listed.select("key", "verdict", "named")), "key")
+    keys = url_keys(url_forms(distinct).filter("host <> ''"), lengths).withColumns({"block": _block(F.col("key"), blocks), "mask": _mask()})
+    possible = keys.join(small(bloom(listed, blocks)), "block").filter("(bits & mask) = mask").select("url", "raw", "canonical", "key")
+    hits = possible.join(small(listed.select("key", "verdict", "named")), "key").filter("if(named, raw, canonical)")
     order = F.struct(F.length("key").alias("n"), F.col("key"), F.col("verdict"))
     decided = hits.groupBy("url").agg(F.max(F.when(F.col("named"), order)).alias("best"), F.max(F.when(~F.col("named"), F.lit(1))).alias("other"))
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("other") == 1, "block"), F.lit("allow"))
     return with_parts.join(decided, "url", "left").select("page_id", "url", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
 
 
-def judge_by_rules(pages: DataFrame) -> DataFrame:
+def judge_by_rules(pages: DataFrame, unwanted: DataFrame | None = None) -> DataFrame:
+    """`judge_urls` by the rules and the hosts beside them, and by the entries of ``unwanted`` (key) as well."""
     spark = pages.sparkSession
     listed = spark.createDataFrame([(k, v, True) for k, v in RULES] + [(k, "block", False) for k in LISTED], "key string, verdict string, named boolean")
+    if unwanted is not None:
+        listed = listed.unionByName(unwanted.select("key", F.lit("block").alias("verdict"), F.lit(False).alias("named")).distinct())
     return judge_urls(pages, listed).drop("url")

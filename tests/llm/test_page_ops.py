@@ -86,3 +86,14 @@ def test_bloom_passes_all_listed_and_the_join_removes_others(spark):
         assert found.filter("verdict = 'block'").count() == 3000 and found.filter("(page_id < 3000) = (verdict = 'block')").count() == 6000
     assert urls.judge_urls(rows, listed.limit(0)).filter("verdict = 'allow'").count() == 6000
     assert urls.judge_by_rules(rows.limit(0)).count() == 0
+
+
+def test_listed_hosts_fit_canonical_urls_and_come_from_a_table(spark):
+    forms = ["http://cheap-pills.example.net", "http://cheap-pills.example.net?x", "HTTPS://www.cheap-pills.example.net:443/a", "http://cheap-pills.example.net.:80#x", "http://me@cheap-pills.example.net./"]
+    others = ["http://cheap-pills.example.net:8080/", "http://org", "http://example.org.:80/es/", "http://cheap-pills.example.net.a/"]
+    rows = spark.createDataFrame([*enumerate([*forms, *others]), (20, "http://m.cheap-pills.example.com/x"), (21, "http://spam-farm.example.org")], "page_id long, url string")
+    blocked = lambda *more: {r.page_id for r in urls.judge_by_rules(rows, *more).collect() if r.verdict == "block"}
+    assert blocked() == set(range(len(forms)))
+    table = spark.createDataFrame([("cheap-pills.example.com/",), ("spam-farm.example.org/",)], "key string")
+    found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_by_rules(rows, table).collect()}
+    assert blocked(table) == {*range(len(forms)), 20, 21} and found[21] == ("spam-farm.example.org", "", None, "block") and len(found) == 11
