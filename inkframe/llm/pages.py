@@ -5,6 +5,11 @@ the tags and classes from the root, digits generalised. Votes are summed in Spar
 so a host with a third of all pages is no hot key). Pass 2 parses again and takes the container with
 the host's winning path, or the page's own best where the page has no such path.
 
+Elements apart from the article (navigation, comments, hidden ones and the like) are known by tag, role
+and words of class and id. Their text is kept with a mark and judged at the page's end: an element that
+holds the page's article or main, one that other class names call content, and one around nearly all of
+a page that has no content elsewhere is not apart; nor is one at the host's winning path.
+
 Null, empty and tagless pages: null and empty give an empty text, tagless ones their whole text.
 Pages without host go by their own best. Unclosed elements end with their parent or the page.
 """
@@ -42,40 +47,53 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 
 
 class Node:
-    __slots__ = ("tag", "path", "up", "away", "depth", "parts", "plain", "prior", "linked")
+    __slots__ = ("tag", "path", "up", "own", "away", "depth", "plain", "raw", "kept", "prior", "linked")
 
-    def __init__(self, tag: str, path: str, up: Node | None, away: bool, prior: float, linked: bool):
-        self.tag, self.path, self.up, self.away, self.prior, self.linked = tag, path, up, away, prior, linked
+    def __init__(self, tag: str, path: str, up: Node | None, own: int, prior: float, linked: bool):
+        self.tag, self.path, self.up, self.own, self.prior, self.linked = tag, path, up, own, prior, linked
+        self.away = False
         self.depth = up.depth + 1 if up else 0
-        self.plain = 0  # characters of text below that is neither apart nor a link
+        self.plain = self.raw = self.kept = 0  # characters that aren't of a link: its own, all below, those below that aren't apart
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)}
 
 
-def _judge(tag: str, rest: str, up: Node) -> tuple[str, bool, float]:
-    """The path step of an element, whether it is apart from the article, and the prior of a container."""
-    name, away, prior = tag, tag in APART, 2.0 if tag == "article" else 1.5 if tag == "main" else 1.0
+def _words(name: str) -> set[str]:
+    return {w.lower() for w in _WORD.findall(name)}
+
+
+def _judge(tag: str, rest: str, up: Node) -> tuple[str, int, float]:
+    """The path step of an element, whether it looks apart from the article (1; 2 where another of its names
+    calls it content), and the prior of a container."""
+    name, away, named, prior = tag, tag in APART, False, 2.0 if tag == "article" else 1.5 if tag == "main" else 1.0
     if rest.strip(" /\n\t"):
         found = _attributes(rest)
         if cls := found.get("class"):
             name += "." + ".".join(sorted({re.sub(r"\d+", "#", c) for c in cls.split()}))
-        words = {w.lower() for w in _WORD.findall(f"{cls or ''} {found.get('id', '')}")}
+        names = f"{cls or ''} {found.get('id', '')}"
+        words = _words(names)
         if words & GOOD or found.get("itemprop", "").lower() == "articlebody" or found.get("role", "").lower() in ("main", "article"):
             prior *= 1.3
         if tag not in ("html", "body", "article", "main"):
-            away |= bool(words & AWAY) or bool(words & WEAK and not words & GOOD)
-        away |= found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return name, away, prior
+            if words & AWAY:
+                named = not away and any(w & GOOD and not w & AWAY for w in map(_words, names.split()))
+                away = True
+            away |= bool(words & WEAK and not words & GOOD)
+        hidden = found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        away, named = away or hidden, named and not hidden
+    return name, 2 if named else int(away), prior
 
 
 class Page:
     """The containers of a page, and its text pieces in order: (node, piece), or (None, "") between blocks."""
 
     def __init__(self, source: str):
-        self.root = Node("", "", None, False, 1.0, False)
+        self.root = Node("", "", None, 0, 1.0, False)
         self.nodes: list[Node] = [self.root]
+        self.all: list[Node] = [self.root]  # parents before children
+        self.shares: Counter[str] | None = None  # text below elements that look apart and have another name, by path
         self.pieces: list[tuple[Node | None, str]] = []
         at, here = 0, self.root
         lower = None
@@ -107,10 +125,63 @@ class Page:
                     self.pieces.append((None, ""))
             else:
                 here = self._open(tag, m[3], here)
+                self.all.append(here)
+        for node in reversed(self.all):
+            node.raw += node.plain
+            if node.up is not None:
+                node.up.raw += node.raw
+        self._settle(frozenset())
+
+    def _settle(self, wanted: frozenset[int]) -> None:
+        """Which elements are apart, none of those with the ids ``wanted``, and how much text is kept below each."""
+        held: set[int] = set(wanted)
+        if any(node.own for node in self.all):
+            tops = [n for n in self.all if n.tag in ("article", "main") and n.raw]
+            most = max((n.raw for n in tops if n.tag == "article"), default=0)
+            for node in (n for n in tops if n.tag == "main" or 2 * n.raw >= most):
+                up = node.up
+                while up is not None and id(up) not in held:
+                    held.add(id(up))
+                    up = up.up
+        for node in self.all:
+            node.kept = 0
+            node.away = node.up is not None and id(node) not in wanted and (node.up.away or bool(node.own) and id(node) not in held and not self._around(node))
+        for node in reversed(self.all):
+            if not node.away:
+                node.kept += node.plain
+            if node.up is not None:
+                node.up.kept += node.kept
+
+    def _around(self, node: Node) -> bool:
+        """Whether an element that looks apart is content by its size: with another name that says so and a quarter
+        of the page's text (along with others of its path), or around four fifths of it, with no content elsewhere."""
+        page = self.root.raw
+        if node.own == 2:
+            if self.shares is None:
+                self.shares = Counter()
+                for n in self.all:
+                    if n.own == 2:
+                        self.shares[n.path] += n.raw
+            if 4 * self.shares[node.path] >= page > 0:
+                return True
+        if 5 * node.raw < 4 * page or not page:
+            return False
+        for other in self.nodes:
+            if other.prior > 1 and not other.own and other.raw and (other.tag in ("article", "main") or 20 * other.raw >= page):
+                up: Node | None = other
+                while up is not None and up is not node and not (up.own and up is not other):
+                    up = up.up
+                if up is None and not self._inside(node, other):
+                    return False
+        return True
+
+    @staticmethod
+    def _inside(node: Node | None, holder: Node) -> bool:
+        while node is not None and node is not holder:
+            node = node.up
+        return node is not None
 
     def _text(self, text: str, here: Node) -> None:
-        if here.away:
-            return
         if "&" in text:
             text = html.unescape(text)
         self.pieces.append((here, text))
@@ -130,11 +201,10 @@ class Page:
                         break
                 node = node.up
         if tag in INLINE and not rest and tag != "a":
-            child = Node(tag, here.path, here, here.away, 1.0, here.linked)
-            return child
+            return Node(tag, here.path, here, 0, 1.0, here.linked)
         name, away, prior = _judge(tag, rest, here)
-        child = Node(tag, here.path if tag in INLINE else f"{here.path}/{name}", here, here.away or away, prior, here.linked or tag == "a")
-        if tag in HOLDERS and not child.away:
+        child = Node(tag, here.path if tag in INLINE else f"{here.path}/{name}", here, away, prior, here.linked or tag == "a")
+        if tag in HOLDERS:
             self.nodes.append(child)
         return child
 
@@ -150,32 +220,22 @@ class Page:
             self.pieces.append((None, ""))
         return node.up
 
-    def sums(self) -> dict[int, int]:
-        """Characters of plain text below each node."""
-        total: dict[int, int] = {}
-        for node, size in ((n, n.plain) for n in {id(n): n for n, _ in self.pieces if n is not None}.values()):
-            while node is not None:
-                total[id(node)] = total.get(id(node), 0) + size
-                node = node.up
-        return total
-
     def best(self) -> tuple[Node, float]:
         """The container with the highest score: its plain text, times the priors on its way; deeper ones win
         while they hold most of the text."""
-        total = self.sums()
         found, top = self.root, -1.0
         for node in self.nodes:
-            size = total.get(id(node), 0)
-            score = size * node.prior * (1 + 0.05 * min(node.depth, 10))
-            if score > top:
+            score = node.kept * node.prior * (1 + 0.05 * min(node.depth, 10))
+            if score > top and not node.away:
                 found, top = node, score
         return found, max(top, 0.0)
 
     def at(self, path: str) -> Node | None:
         """The container with most plain text among those at ``path``; None without any text there."""
-        total = self.sums()
-        there = [n for n in self.nodes if n.path == path and total.get(id(n))]
-        return max(there, key=lambda n: total[id(n)], default=None)
+        there = [n for n in self.nodes if n.path == path and n.raw]
+        if there and all(n.away for n in there):
+            self._settle(frozenset(map(id, there)))
+        return max((n for n in there if n.kept and not n.away), key=lambda n: n.kept, default=None)
 
     def text(self, holder: Node) -> str:
         blocks, block = [], []
@@ -191,7 +251,7 @@ class Page:
                 up = node
                 while up is not None and up is not holder:
                     up = up.up
-                known = inside[id(node)] = up is not None
+                known = inside[id(node)] = up is not None and not node.away
             if known:
                 block.append(piece)
         if block:

@@ -97,3 +97,21 @@ def test_listed_hosts_fit_canonical_urls_and_come_from_a_table(spark):
     table = spark.createDataFrame([("cheap-pills.example.com/",), ("spam-farm.example.org/",)], "key string")
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_by_rules(rows, table).collect()}
     assert blocked(table) == {*range(len(forms)), 20, 21} and found[21] == ("spam-farm.example.org", "", None, "block") and len(found) == 11
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<div class='site-content has-sidebar'>", "<div class='content no-sidebar'>", "<div class='post comments-open'>", "<div class='post-body legal'>", "<form id=aspnetForm>", "<div class='has-sidebar'>", "<header>"],
+)
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_wrappers_with_away_words_keep_their_text(spark, wrapper, tag):
+    end = f"</{wrapper[1:].split()[0].strip('>')}>"
+    body = ARTICLE.replace("article>", f"{tag}>")
+    html = f"<body><nav>menu words</nav>{wrapper}{body}<div class='sidebar'>side</div>{end}<footer>foot</footer></body>"
+    assert extract(spark, html) == [WANT]
+
+
+def test_comments_stay_apart(spark):
+    talk = "<p>a reader says this and a lot more than that</p>" * 30
+    for html in (f"<body>{ARTICLE}<section id='comments'>{talk}</section></body>", f"<body>{ARTICLE}<div class='comments'><article>short</article></div></body>", f"<body><div class='content'>{ARTICLE}</div><div class='comment-body'>{talk}</div></body>"):
+        assert extract(spark, html) == [WANT]
