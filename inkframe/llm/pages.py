@@ -2,8 +2,10 @@
 
 Pass 1 parses each page, scores its containers and votes, for its host, on the path of the best one:
 the tags and classes from the root, digits generalised. Votes are summed in Spark (in each task first,
-so a host with a third of all pages is no hot key). Pass 2 parses again and takes the container with
-the host's winning path, or the page's own best where the page has no such path.
+so a host with a third of all pages is no hot key). Pass 2 parses again and takes all containers with
+the host's winning path, or those with the path of the page's own best where the page has none or where
+they hold far less text (`FAR`). There the host's path still wins over a path that usually has text
+beside another page's best (`beside`, a side box).
 
 Elements apart from the article (navigation, comments, hidden ones and the like) are known by tag, role
 and words of class and id. Their text is kept with a mark and judged at the page's end: an element that
@@ -43,6 +45,7 @@ AWAY = frozenset(
     "toolbar pagination pager copyright legal skip".split()
 )
 WEAK = frozenset("header side meta more widget notice alert banner hidden".split())
+FAR = 0.25
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
@@ -221,24 +224,43 @@ class Page:
         return node.up
 
     def best(self) -> tuple[Node, float]:
-        """The container with the highest score: its plain text, times the priors on its way; deeper ones win
-        while they hold most of the text."""
+        """The first of the containers of one path with the highest score together: their plain text, times the
+        priors on its way; deeper ones win while they hold most of the text."""
+        kept: Counter[str] = Counter()
+        for node in self.nodes:
+            if not node.away:
+                kept[node.path] += node.kept
         found, top = self.root, -1.0
         for node in self.nodes:
-            score = node.kept * node.prior * (1 + 0.05 * min(node.depth, 10))
+            score = kept[node.path] * node.prior * (1 + 0.05 * min(node.depth, 10))
             if score > top and not node.away:
                 found, top = node, score
+        up = found.up
+        while up is not None and found.prior < 1.5:  # neither article nor main: nothing of a wrapper that has a good deal more is cut off
+            if (up.tag in HOLDERS or up.up is None) and not up.away and kept[found.path] < 0.9 * kept[up.path]:
+                found = up
+            up = up.up
         return found, max(top, 0.0)
 
-    def at(self, path: str) -> Node | None:
-        """The container with most plain text among those at ``path``; None without any text there."""
+    def at(self, path: str) -> list[Node]:
+        """The containers with plain text at ``path``, in page order."""
         there = [n for n in self.nodes if n.path == path and n.raw]
         if there and all(n.away for n in there):
             self._settle(frozenset(map(id, there)))
-        return max((n for n in there if n.kept and not n.away), key=lambda n: n.kept, default=None)
-
-    def text(self, holder: Node) -> str:
+        return [n for n in there if n.kept and not n.away]
+
+    def chosen(self, path: str | None, beside: frozenset[str]) -> list[Node]:
+        """The containers to take where ``path`` is the host's."""
+        own = self.best()[0]
+        whole = [n for n in self.nodes if n.path == own.path and not n.away and n.kept] or [own]
+        there = self.at(path) if path else []
+        if not there or sum(n.kept for n in there) < FAR * sum(n.kept for n in whole) and own.path not in beside:
+            return whole
+        return there
+
+    def text(self, *holders: Node) -> str:
         blocks, block = [], []
+        holders = set(holders)
         inside: dict[int, bool] = {}
         for node, piece in self.pieces:
             if node is None:
@@ -249,7 +271,7 @@ class Page:
             known = inside.get(id(node))
             if known is None:
                 up = node
-                while up is not None and up is not holder:
+                while up is not None and up not in holders:
                     up = up.up
                 known = inside[id(node)] = up is not None and not node.away
             if known:
@@ -265,12 +287,14 @@ def host_of(url: Column) -> Column:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.float64())])
+    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.float64()), ("seen", pa.float64())])
     votes: Counter[tuple[str, str]] = Counter()
+    seen: Counter[tuple[str, str]] = Counter()  # pages with text there
 
     def flush() -> pa.RecordBatch:
-        out = arrow_rows(schema, host=[h for h, _ in votes], path=[p for _, p in votes], votes=list(votes.values()))
+        out = arrow_rows(schema, host=[h for h, _ in seen], path=[p for _, p in seen], votes=[float(votes[k]) for k in seen], seen=list(map(float, seen.values())))
         votes.clear()
+        seen.clear()
         return out
 
     for batch in slices(batches, "html"):
@@ -280,7 +304,8 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node, score = page.best()
                 if score:
                     votes[host, node.path] += 1.0
-        if len(votes) > 20_000:
+                    seen.update({(host, n.path) for n in page.nodes if n.kept and not n.away} | {(host, node.path)})
+        if len(seen) > 20_000:
             yield flush()
     yield flush()
 
@@ -289,15 +314,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("path", pa.string())])
     for batch in slices(batches, "html"):
         texts, paths = [], []
-        for path, source in zip(batch.column("path").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        for path, beside, source in zip(batch.column("path").to_pylist(), batch.column("beside").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if not source:
                 texts.append("")
                 paths.append(None)
                 continue
             page = Page(source)
-            holder = (page.at(path) if path else None) or page.best()[0]
-            texts.append(page.text(holder))
-            paths.append(holder.path)
+            holders = page.chosen(path, frozenset(beside or ()))
+            texts.append(page.text(*holders))
+            paths.append(holders[0].path)
         yield arrow_rows(schema, page_id=batch.column("page_id").cast(pa.int64()), url=batch.column("url"), text=texts, n_chars=[len(t) for t in texts], path=paths)
 
 
@@ -308,9 +333,12 @@ def main_text(pages: DataFrame, broadcast_hosts: int = 50_000) -> DataFrame:
     """
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes double")
-    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    winners = stash(votes.groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("path")), "host-paths")
+    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes double, seen double")
+    votes = stash(votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("seen").alias("seen")), "host-votes")
+    best = votes.filter("votes > 0").groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("path"), F.sum("votes").alias("pages"))
+    # at most ten times the paths of a usual page for each host
+    aside = votes.filter("votes > 0 AND 2 * votes < seen").join(best.select("host", "pages"), "host").filter("10 * seen >= pages").groupBy("host").agg(F.collect_list("path").alias("beside"))
+    winners = stash(best.select("host", "path").join(aside, "host", "left"), "host-paths")
     if winners.count() <= broadcast_hosts:
         winners = F.broadcast(winners)
-    return pages.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint, path string")
+    return pages.join(winners, "host", "left").select("page_id", "url", "html", "path", "beside").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint, path string")

@@ -115,3 +115,15 @@ def test_comments_stay_apart(spark):
     talk = "<p>a reader says this and a lot more than that</p>" * 30
     for html in (f"<body>{ARTICLE}<section id='comments'>{talk}</section></body>", f"<body>{ARTICLE}<div class='comments'><article>short</article></div></body>", f"<body><div class='content'>{ARTICLE}</div><div class='comment-body'>{talk}</div></body>"):
         assert extract(spark, html) == [WANT]
+
+
+def test_siblings_of_the_winning_path_are_joined_and_other_templates_kept(spark):
+    part = "<div class='post-body'><p>{}</p></div>"
+    two = "<body><div class='wrap'>" + part.format("first part " * 9) + "<div class='ad'>buy</div>" + part.format("second part " * 5) + "</div></body>"
+    want = "\n\n".join([("first part " * 9).strip(), ("second part " * 5).strip()])
+    assert extract(spark, two, two, two) == [want] * 3
+    usual = f"<body><div class='content'><p>{'the usual story ' * 20}</p></div></body>"
+    other = f"<body><div class='content'><p>a short box</p></div><div class='story'><p>{'another template ' * 20}</p></div></body>"
+    assert extract(spark, *[usual] * 4, other, other)[-1] == ("another template " * 20).strip()
+    rest = f"<body><div class='box'><div class='content'><p>{'most of it ' * 16}</p></div><p>{'the rest of it ' * 4}</p></div></body>"
+    assert extract(spark, rest) == [("most of it " * 16).strip() + "\n\n" + ("the rest of it " * 4).strip()]
