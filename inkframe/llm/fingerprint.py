@@ -2,7 +2,7 @@
 
 A fingerprint is a vector summed over the paragraphs (parts between line feeds) of a text:
 8 lanes modulo 2^64 from a wide hash of the paragraph, which tell multisets of paragraphs apart,
-and 128 lanes modulo 2^16 with +1 or -1 for each 12-byte window of the paragraph and one for the
+and 128 lanes modulo 2^32, read as signed, with +1 or -1 for each 12-byte window of the paragraph and one for the
 paragraph itself, whose cosine estimates how much two texts share. Sums don't depend on the order,
 and a paragraph is inserted or deleted by adding or subtracting its vector (`add`, `remove`).
 
@@ -31,7 +31,7 @@ _SPREAD = np.uint64(0xE7037ED1A0B428DB)
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x 8 uint64, rows x 128 uint16): the summed lanes of each text."""
+    """(rows x 8 uint64, rows x 128 uint32): the summed lanes of each text."""
     rows, n = len(offsets) - 1, len(data)
     exact = np.zeros((rows, EXACT), np.uint64)
     rough = np.zeros(rows * 2 * ROUGH, np.int64)
@@ -61,17 +61,17 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         of = np.repeat(np.arange(rows, dtype=np.int64), np.diff(offsets))[: n - WINDOW + 1]
         rough += np.bincount(of[inside] * (2 * ROUGH) + lane[inside].astype(np.int64), minlength=len(rough))
     rough = rough.reshape(rows, 2, ROUGH)
-    return exact, (rough[:, 0] - rough[:, 1]).astype(np.uint16)
+    return exact, (rough[:, 0] - rough[:, 1]).astype(np.uint32)
 
 
 def pack(exact: np.ndarray, rough: np.ndarray) -> list[str]:
-    both = np.concatenate((exact.astype("<u8").view(np.uint8).reshape(len(exact), -1), rough.astype("<u2").view(np.uint8).reshape(len(rough), -1)), axis=1)
+    both = np.concatenate((exact.astype("<u8").view(np.uint8).reshape(len(exact), -1), rough.astype("<u4").view(np.uint8).reshape(len(rough), -1)), axis=1)
     return [row.tobytes().hex() for row in both]
 
 
 def unpack(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     data = bytes.fromhex(fingerprint)
-    return np.frombuffer(data[: 8 * EXACT], "<u8").astype(np.uint64), np.frombuffer(data[8 * EXACT :], "<u2").astype(np.uint16)
+    return np.frombuffer(data[: 8 * EXACT], "<u8").astype(np.uint64), np.frombuffer(data[8 * EXACT :], "<u4").astype(np.uint32)
 
 
 def fingerprint(text: str | None) -> str:
@@ -93,7 +93,7 @@ def remove(a: str, b: str) -> str:
 
 def likeness(exact_a: np.ndarray, rough_a: np.ndarray, exact_b: np.ndarray, rough_b: np.ndarray) -> np.ndarray:
     """Row by row: 1 for equal fingerprints, else the cosine of the rough lanes, at least 0."""
-    a, b = rough_a.astype(np.int16).astype(np.float64), rough_b.astype(np.int16).astype(np.float64)
+    a, b = rough_a.astype(np.int32).astype(np.float64), rough_b.astype(np.int32).astype(np.float64)
     size = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
     cosine = np.divide((a * b).sum(axis=1), size, out=np.zeros(len(a)), where=size > 0)
     equal = (exact_a == exact_b).all(axis=1) & (rough_a == rough_b).all(axis=1)

@@ -188,3 +188,14 @@ def test_whole_keys_and_tokens_are_novel():
     assert spans(late) == [(5, 107)] and spans("session=Zk3vQ9pLw2Xr7TnB5yHc8Jd4") == [(0, 32)]
     for words in ("the key to misunderstandings and internationalization", "auth_provider getAuthenticationCredentialProvider", "private /usr/local/share/configuration/settings", "key ---------------------------------", "key -=-=-=-=-=-=-=-=-=-=-="):
         assert spans(words) == [], words
+
+
+def test_likeness_of_texts_that_repeat_much(spark):
+    line = "nineteen characters\n"
+    for text in (line * 40_000, "a" * 50_000):
+        two = text[: len(text) // 3 * 2]
+        (x, r), (y, s) = (fp.unpack(fp.fingerprint(t)) for t in (text, two))
+        assert fp.likeness(x[None], r[None], y[None], s[None])[0] > 0.99
+        assert fp.remove(fp.add(fp.fingerprint(text), fp.fingerprint(two)), fp.fingerprint(two)) == fp.fingerprint(text)
+        row = fp.edited_fingerprints(spark.createDataFrame([(1, two), (2, text)], SCHEMA)).filter("doc_id = 2").first()
+        assert row.near_edited > 0.99 and row.near_next > 0.99
