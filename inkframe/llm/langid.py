@@ -136,7 +136,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` but those that `identify` rejects as `und`."""
+    """The rows of ``docs`` but null texts and texts without letters, which `identify` calls `und`; where no
+    language was learned, all others stay too."""
     small_batches(docs.sparkSession)
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     marked = docs.select("doc_id", "text", "lang", F.coalesce(crc % 3 == 1, F.lit(False)).alias("held_out"))
@@ -148,6 +149,9 @@ def known_language(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if not model.value[0]:
+                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column("text").to_pylist()], pa.bool_()))
+                continue
             plain = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), pa.array([False] * batch.num_rows), batch.column("text")], names=["doc_id", "held_out", "text"])
             keep = [lang != "und" for out in judge([plain]) for lang in out.column("lang_pred").to_pylist()]
             yield batch.filter(pa.array(keep))

@@ -199,3 +199,10 @@ def test_likeness_of_texts_that_repeat_much(spark):
         assert fp.remove(fp.add(fp.fingerprint(text), fp.fingerprint(two)), fp.fingerprint(two)) == fp.fingerprint(text)
         row = fp.edited_fingerprints(spark.createDataFrame([(1, two), (2, text)], SCHEMA)).filter("doc_id = 2").first()
         assert row.near_edited > 0.99 and row.near_next > 0.99
+
+
+def test_documents_stay_where_no_language_was_learned(spark):
+    rows = [(1, "the and", None), (2, "der und", None), (3, None, None), (4, "123 --", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.known_language(docs).collect()) == [1, 2]
+    assert {r.lang_pred for r in langid.identify(docs).collect()} == {"und"}
