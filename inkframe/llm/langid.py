@@ -7,6 +7,9 @@ each language is solved in closed form on the driver from at most ``SAMPLE`` lab
 documented bound; of each a kilobyte of presence bits is collected, never text). Scoring is two
 matrix products for each batch of whole texts.
 
+Only the ``SAMPLE // 8`` most frequent languages are learned, so a text of a rarer one is given the label
+of one of those.
+
 Training uses only text and non-null lang of rows whose crc32(doc_id as text) mod 3 is not 1. Null
 texts and texts without letters are `und` with score 0, and so is everything when nothing was learned.
 """
