@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,9 +34,10 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts fits a Python worker."""
+    """Arrow batches of few rows and some 16 MB, so that a batch of very long texts fits a Python worker."""
     if int(spark.conf.get(ARROW_ROWS, "10000")) > rows:
         spark.conf.set(ARROW_ROWS, str(rows))
+    spark.conf.set(ARROW_BYTES, str(1 << 24))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,3 +105,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def arrow_rows(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in schema], schema=schema)
+
+
+_SQL_TYPES = {pa.int32(): "int", pa.int64(): "bigint", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string", pa.binary(): "binary"}
+
+
+def ddl(schema: pa.Schema) -> str:
+    """The schema as Spark writes it."""
+    return ", ".join(f"{f.name} {_SQL_TYPES[f.type]}" for f in schema)

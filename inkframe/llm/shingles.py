@@ -11,7 +11,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))[_LOWER]
+_EXACT = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_BYTE = _EXACT[_LOWER]
 _BASE, _INVERSE = 0xE7037ED1A0B428DB, pow(0xE7037ED1A0B428DB, -1, 1 << 64)
 _STEP = np.uint64(0x8EBC6AF09C88C6E3)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -27,6 +28,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the bytes of each span."""
+    power, inverse = _power_tables(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_EXACT[data] * power[: len(data)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and the row that each is in. A-Z count as a-z; words are parted by space and 0x09-0x0D."""
     n = len(data)
