@@ -42,9 +42,9 @@ def breaches(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataF
     return rows.select(*key, F.explode(found).alias("rule"))
 
 
-def upper_median(values: Column) -> Column:
-    """The middle of an array, the later one of two."""
-    return F.element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)
+def upper_median(value: str) -> Column:
+    """An aggregate: the middle value, the larger one of two. It holds distinct values with their counts, not rows."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
 
 
 def coverage(chars: DataFrame, alphabet: DataFrame, by: list[str]) -> DataFrame:

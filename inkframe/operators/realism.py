@@ -1,75 +1,100 @@
 """Layers that make a transparent page of handwriting (BGRA) look written by hand, and the stamping of one glyph.
 
-An amount of 0 or less leaves a page as it is. Random layers take a seed, so a repeated task gives the same.
+A layer is a field of moves or of ink strength over the page, given by its reach and shape. An amount of 0
+or less leaves a page as it is. Random shapes have fixed seeds, so a repeated task gives the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
 from inkframe.operators import kernels, photo
 
+#: A layer's strength at every place of a page of some height and width, as an array that broadcasts over it.
+Shape = Callable[[int, int], np.ndarray]
 
-def moved(page: np.ndarray, dx: np.ndarray) -> np.ndarray:
-    """Each pixel moved right by whole ``dx`` (broadcast over the page); nothing comes in from beyond."""
-    h, w = page.shape[:2]
-    source = np.broadcast_to(np.arange(w)[None] - dx.astype(int), (h, w))
-    out = np.take_along_axis(page, np.clip(source, 0, w - 1)[..., None], axis=1)
-    out[(source < 0) | (source >= w)] = 0
-    return out
 
+def _steps(size: int) -> np.ndarray:
+    return np.arange(size) / size
 
-def fainter(page: np.ndarray, factor: np.ndarray) -> np.ndarray:
-    out = page.copy()
-    out[:, :, 3] = photo.clip8(page[:, :, 3] * factor)
-    return out
 
+def _down(shape: Callable[[np.ndarray], np.ndarray]) -> Shape:
+    return lambda h, w: shape(_steps(h))[:, None]
 
-def fatigue(page: np.ndarray, amount: float, seed: int = 7) -> np.ndarray:
-    """Rows pushed aside, more so towards the bottom."""
-    h, w = page.shape[:2]
-    knots = np.random.default_rng(seed).uniform(-1, 1, max(h // 4, 4))
-    y = np.arange(h)
-    push = np.interp(y, np.linspace(0, h, len(knots)), knots) * amount * w * 0.012 * (y / h) ** 0.7
-    return moved(page, push[:, None])
 
+def _across(shape: Callable[[np.ndarray], np.ndarray]) -> Shape:
+    return lambda h, w: shape(_steps(w))[None]
 
-def wander(page: np.ndarray, amount: float, seed: int = 0) -> np.ndarray:
-    """Lines drift up and down in one and a half waves."""
-    h = page.shape[0]
-    y = np.arange(h)
-    up = (amount * h * 0.012 * np.sin(3 * np.pi * y / h)).astype(int)
-    return page[np.clip(y - up, 0, h - 1)]
 
+def _shaken(seed: int) -> Shape:
+    """Pushes to either side at every fourth row, straight lines between, growing down the page."""
 
-def drift(page: np.ndarray, amount: float, seed: int = 0) -> np.ndarray:
-    """The left margin grows down the page."""
-    h, w = page.shape[:2]
-    return moved(page, (np.arange(h) * int(amount * w * 0.04) / h)[:, None])
+    def shape(h: int, w: int) -> np.ndarray:
+        knots = np.random.default_rng(seed).uniform(-1, 1, max(h // 4, 4))
+        return (np.interp(np.arange(h), np.linspace(0, h, len(knots)), knots) * _steps(h) ** 0.7)[:, None]
 
+    return shape
 
-def pressure(page: np.ndarray, amount: float, seed: int = 13) -> np.ndarray:
-    """Patches of lighter ink."""
-    h, w = page.shape[:2]
-    patches = np.random.default_rng(seed).uniform(1 - 0.3 * amount, 1, (max(h // 25, 2), max(w // 25, 2)))
-    return fainter(page, kernels.resize(photo.clip8(patches * 255), h, w) / 255.0)
 
+def _patches(seed: int) -> Shape:
+    """0..1 in patches of some 25 pixels."""
+
+    def shape(h: int, w: int) -> np.ndarray:
+        light = np.random.default_rng(seed).random((max(h // 25, 2), max(w // 25, 2)))
+        return 1 - kernels.resize(photo.clip8(light * 255), h, w) / 255.0
+
+    return shape
 
-def fading(page: np.ndarray, amount: float, seed: int = 0) -> np.ndarray:
-    """Ink that runs out towards the bottom."""
-    return fainter(page, np.linspace(1, 1 - 0.5 * amount, page.shape[0])[:, None])
 
+@dataclass(frozen=True)
+class Layer:
+    """A field over the page: ``reach`` times the amount is the share of the page's width or height by which
+    ink moves right or down, or the share of its strength that it loses. ``whole`` cuts the furthest move to
+    whole pixels before the shape is taken."""
 
-def cramming(page: np.ndarray, amount: float, seed: int = 0) -> np.ndarray:
-    """Text squeezed towards the right margin."""
-    w = page.shape[1]
-    return moved(page, -np.floor(amount * w * 0.06 * (np.arange(w) / w) ** 2)[None])
+    kind: str  # right, down or ink
+    reach: float
+    shape: Shape
+    whole: bool = False
 
+    def laid(self, page: np.ndarray, amount: float) -> np.ndarray:
+        h, w = page.shape[:2]
+        field = self.shape(h, w)
+        if self.kind == "ink":
+            return fainter(page, 1 - amount * self.reach * field)
+        most = amount * self.reach * (w if self.kind == "right" else h)
+        move = np.trunc((np.trunc(most) if self.whole else most) * field).astype(int)
+        if self.kind == "down":
+            return np.take_along_axis(page, np.broadcast_to(np.clip(np.arange(h)[:, None] - move, 0, h - 1), (h, w))[..., None], axis=0)
+        return moved(page, move)
 
-#: In the order in which they are laid.
-LAYERS: dict[str, Callable[..., np.ndarray]] = {f.__name__: f for f in (fatigue, wander, drift, pressure, fading, cramming)}
+
+def moved(page: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Each pixel from ``right`` places before it; what would come from beyond the page is empty."""
+    h, w = page.shape[:2]
+    framed = np.pad(page, ((0, 0), (1, 1), (0, 0)))
+    source = np.clip(np.arange(1, w + 1)[None] - right, 0, w + 1)
+    return np.take_along_axis(framed, np.broadcast_to(source, (h, w))[..., None], axis=1)
+
+
+def fainter(page: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    out = page.copy()
+    out[:, :, 3] = photo.clip8(page[:, :, 3] * factor)
+    return out
+
+
+#: Reaches and seeds, in the order in which layers are laid.
+LAYERS: dict[str, Layer] = {
+    "fatigue": Layer("right", 0.012, _shaken(7)),
+    "wander": Layer("down", 0.012, _down(lambda t: np.sin(3 * np.pi * t))),
+    "drift": Layer("right", 0.04, _down(lambda t: t), whole=True),
+    "pressure": Layer("ink", 0.3, _patches(13)),
+    "fading": Layer("ink", 0.5, lambda h, w: np.linspace(0, 1, h)[:, None]),
+    "cramming": Layer("right", -0.06, _across(lambda t: t * t)),
+}
 
 #: Amounts by preset, in the order of the layers.
 PRESETS = {
@@ -87,9 +112,8 @@ def preset(name: str) -> dict[str, float]:
 
 def realism(page: np.ndarray, amounts: dict[str, float]) -> np.ndarray:
     """All layers with an amount over 0."""
-    for name, layer in LAYERS.items():
-        if amounts.get(name, 0) > 0:
-            page = layer(page, amounts[name])
+    for name in [n for n in LAYERS if amounts.get(n, 0) > 0]:
+        page = LAYERS[name].laid(page, amounts[name])
     return page
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,16 +56,25 @@ class VariantChoice:
 
 
 def weighted_variants(rows: DataFrame, document: str, char: str, order: list[str], variants: int, seed: int = 0) -> DataFrame:
-    """(document, char, order..., variant): state is kept for a document's character, so documents spread over tasks."""
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, ignore_index=True)
-        state = VariantChoice(variants)
-        key = (frame[document].iloc[0], frame[char].iloc[0])
-        return frame.assign(variant=[state.next(draw(seed, *key, k)) for k in range(len(frame))])
-
-    kept = rows.select(document, char, *order)
-    return kept.groupBy(document, char).applyInPandas(choose, f"{kept.schema.simpleString()[7:-1].replace(':', ' ')}, variant bigint")
+    """(document, char, order..., variant): state is kept for each character of a document.
+
+    Documents spread over tasks; a task streams its rows in order and holds one document's states.
+    """
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, states = object(), {}
+        for frame in frames:
+            chosen = []
+            for doc, token in zip(frame[document].tolist(), frame[char].tolist(), strict=True):
+                if doc != held:
+                    held, states = doc, {}
+                state, n = states.get(token) or (VariantChoice(variants), 0)
+                states[token] = state, n + 1
+                chosen.append(state.next(draw(seed, doc, token, n)))
+            yield frame.assign(variant=chosen)
+
+    kept = rows.select(document, char, *order).repartition(document).sortWithinPartitions(document, *order)
+    return kept.mapInPandas(choose, f"{kept.schema.simpleString()[7:-1].replace(':', ' ')}, variant bigint")
 
 
 def align(bands: list[int], expected: list[int], slack: int = 2) -> list[tuple[int, int, str]]:

@@ -16,9 +16,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def bank_ngrams(bank: DataFrame) -> tuple[str, ...]:
+    """The n-grams that a bank has glyphs of, longest first: at most those that are known."""
+    held = {r["char"] for r in bank.filter(F.col("char").isin(*MATCH_NGRAMS)).select("char").distinct().collect()}
+    return tuple(n for n in MATCH_NGRAMS if n in held)
+
+
 def tokens(text: Column, ngrams: tuple[str, ...] = MATCH_NGRAMS) -> Column:
-    """Longest n-grams first, in any case, else single characters; white space parts."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?is)({'|'.join(ngrams)}|[^\\x20\\x09-\\x0D])"), F.lit(1))
+    """Longest n-grams first, in any case, else single characters; white space parts.
+
+    Give the n-grams that the bank has (`bank_ngrams`): others are set by their letters.
+    """
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?is)({'|'.join([*ngrams, ''])}[^\\x20\\x09-\\x0D])"), F.lit(1))
     return F.transform(found, lambda t: F.when(F.length(t) > 1, F.lower(t)).otherwise(t))
 
 

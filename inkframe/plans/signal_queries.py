@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkframe.operators import kernels, layout, runs, stateful
-from inkframe.plans.text_queries import read, texts
-from inkframe.sources import dims
+from inkframe.plans import sqltext as sql
+from inkframe.plans.text_queries import HELD, read, texts
+from inkframe.sources import dims, glyphs
 from inkframe.streaming import counts
 
 
@@ -39,13 +41,18 @@ def ink_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rasters with over 60 % of ink in a row or column, by label: counts, share and the first five."""
-    ink = _signal(spark, sf_dir).withColumns({"y": F.floor(F.col("i") / 8), "x": F.col("i") % 8, "on": F.when(F.col("v") > 0, 1).otherwise(0)})
-    span = lambda axis: ink.groupBy("vec_id", axis).agg((F.sum("on") / 8).alias("s")).groupBy("vec_id").agg(F.max("s").alias(f"s_{axis}"))
-    found = span("y").join(span("x"), "vec_id").join(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
-    bad = (F.col("s_y") >= 0.875) | (F.col("s_x") >= 0.875)
-    out = found.groupBy("label").agg(F.count("*").alias("total"), F.count_if(bad).alias("contaminated"), F.array_join(F.slice(F.array_sort(F.collect_list(F.when(bad, F.col("vec_id")))), 1, 5), ",").alias("first_five"))
-    return out.withColumn("pct", F.round(F.col("contaminated") / F.col("total") * 100, 2))
+    """Rasters with ink in over 60 % of a row or column, by label and of all: counts, share and the first five."""
+    inked = F.transform("embedding", lambda v: F.when(v > 0, 1).otherwise(0))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", inked.alias("on"))
+    share = lambda places: F.aggregate(F.array(*[F.get("on", F.lit(k)) for k in places]), F.lit(0), lambda a, b: a + b) / 8
+    spans = [share(range(8 * k, 8 * k + 8)) for k in range(8)], [share(range(k, 64, 8)) for k in range(8)]
+    found = rows.select("vec_id", "label", ((F.greatest(*spans[0]) > 0.6) | (F.greatest(*spans[1]) > 0.6)).alias("bad"))
+    counts = found.groupingSets([["label"], []], "label").agg(F.grouping("label").cast("long").alias("is_total"), F.count("*").alias("total"), F.count_if("bad").alias("contaminated"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    first = found.filter("bad").withColumn("place", place).filter("place <= 5")  # cut in each task before the shuffle
+    first = first.groupingSets([["label"], []], "label").agg(F.grouping("label").cast("long").alias("is_total"), F.array_join(F.slice(F.array_sort(F.collect_list("vec_id")), 1, 5), ",").alias("first_five"))
+    joined = counts.join(first, F.equal_null(counts["label"], first["label"]) & (counts["is_total"] == first["is_total"]), "left")
+    return joined.select(counts["label"], counts["is_total"], "total", "contaminated", F.coalesce("first_five", F.lit("")).alias("first_five"), F.round(F.col("contaminated") / F.col("total") * 100, 2).alias("pct"))
 
 
 def ncc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +116,9 @@ def process_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of every glyph that sets the benchmark texts."""
-    return layout.placements(read(spark, sf_dir, "benchmark"), "item_id", dims.dummy_bank(spark))
+    """The place of every glyph that sets the benchmark texts, with a bank of some n-grams."""
+    found = layout.placements(read(spark, sf_dir, "benchmark"), "item_id", dims.dummy_bank(spark, HELD))
+    return found.select("item_id", "pos", "word", "token", "char", "variant", "line", F.round("x", 4).alias("x"), "y", "w", "h")
 
 
 def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,16 +128,74 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("item_id", "n_glyphs", "n_lines", F.length("png").alias("png_bytes"), F.sha2("png", 256).alias("png_sha256"))
 
 
+def rendered_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation names as phrases, set in the fixed way of the legibility score on white, from a bank of glyph files."""
+    bank = glyphs.with_files(dims.dummy_bank(spark))
+    phrases = read(spark, sf_dir, "nation").select("n_nationkey", F.initcap("n_name").alias("text"))
+    pages = layout.rendered(phrases, "n_nationkey", bank, layout.PHRASE, paper=None)
+    return pages.select("n_nationkey", "n_glyphs", "n_lines", F.length("png").alias("png_bytes"), F.sha2("png", 256).alias("png_sha256"))
+
+
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.event_windows(read(spark, sf_dir, "events"))
 
 
-QUERIES = {f.__name__: f for f in (document_placements, rendered_pages, event_windows, signal_runs, merge_close_runs, moving_average_same, row_col_projection, ink_bbox, line_contamination, ncc_pairs, percentile_stretch, similarity_ratio, weighted_variant, band_alignment, component_stats, glyph_stats, process_cells)}
+QUERIES = {f.__name__: f for f in (document_placements, rendered_pages, rendered_phrases, event_windows, signal_runs, merge_close_runs, moving_average_same, row_col_projection, ink_bbox, line_contamination, ncc_pairs, percentile_stretch, similarity_ratio, weighted_variant, band_alignment, component_stats, glyph_stats, process_cells)}
 
 _S = "s AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 _RUNS = f"{_S}, a AS (SELECT vec_id, i, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS island FROM s WHERE v > 0), r AS (SELECT vec_id, min(i) AS start, max(i) + 1 AS stop FROM a GROUP BY vec_id, island)"
 
+_TALL = "(regexp_matches(token, '^\\p{Lu}+$') OR token IN ('b','d','f','h','k','l','t'))"
+
 ORACLES = {
+    "document_placements": f"""
+WITH RECURSIVE {sql.bank_with(HELD)}, {sql.KEYS}, {sql.KERN},
+lig(pair, delta) AS {sql.values([*dims.LIGATURES.items()])},
+usual AS (SELECT CAST(trunc(median(ink_w::DOUBLE) * (30 / median(ink_h::DOUBLE))) AS BIGINT) AS u FROM bank WHERE variant = 0),
+lines AS (SELECT item_id, greatest(1.0::DOUBLE, length(text) * (u + 2) / 1000.0::DOUBLE) AS n FROM benchmark, usual),
+ws AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS word, unnest(w) AS w FROM (SELECT item_id, {sql.WORDS} AS w FROM benchmark)),
+wide AS (SELECT item_id, word, sum(coalesce(z.width, y.width, 9)) AS width FROM (SELECT item_id, word, unnest({sql.CHARS.format('w')}) AS token FROM ws) c
+  LEFT JOIN (SELECT char, max(least(CAST(trunc(w * ((CASE WHEN regexp_matches(char, '^\\p{{Lu}}$') OR char IN ('b','d','f','h','k','l','t') THEN 42 ELSE 30 END) / h)) AS BIGINT), 90)) + 2 AS width FROM bank GROUP BY 1) z ON z.char = c.token
+  LEFT JOIN (SELECT char, max(least(CAST(trunc(w * ((CASE WHEN regexp_matches({sql.SWAP.format('char')}, '^\\p{{Lu}}$') OR {sql.SWAP.format('char')} IN ('b','d','f','h','k','l','t') THEN 42 ELSE 30 END) / h)) AS BIGINT), 90)) + 2 AS width FROM bank WHERE length(char) = 1 GROUP BY 1) y ON y.char = {sql.SWAP.format('c.token')} GROUP BY 1, 2),
+ts AS (SELECT item_id, word, i, tokens[i] AS token, left(tokens[i + 1], 1) AS after, i = 1 AS begins, i = len(tokens) AS finishes FROM (
+  SELECT item_id, word, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM (
+    SELECT item_id, word, regexp_extract_all(w, '(?is)(ing|th|he|.)', 1) AS tokens FROM ws))),
+fs AS (SELECT ts.*, coalesce(a.char, b.char) AS char, coalesce(a.k, b.k) AS k, row_number() OVER (PARTITION BY item_id ORDER BY word, i) AS n
+  FROM ts LEFT JOIN keys a ON a.char = CASE WHEN length(token) > 1 THEN lower(token) ELSE token END LEFT JOIN keys b ON length(token) = 1 AND b.char = {sql.SWAP.format('token')}),
+vs AS (SELECT *, CASE WHEN char IS NOT NULL THEN (row_number() OVER (PARTITION BY item_id, char ORDER BY n) - 1) % k END AS variant FROM fs),
+gs AS (SELECT vs.*, CASE WHEN {_TALL} THEN 42 ELSE 30 END AS high, bank.w, bank.h AS bank_h, bank.ink_w, wide.width, coalesce(lig.delta, 0) AS delta, CASE WHEN after IS NULL THEN 1.0::DOUBLE ELSE coalesce(kern.factor, 1.0::DOUBLE) END AS kern
+  FROM vs LEFT JOIN bank ON bank.char = vs.char AND bank.variant = vs.variant JOIN wide ON wide.item_id = vs.item_id AND wide.word = vs.word
+  LEFT JOIN lig ON lig.pair = lower(left(token || coalesce(after, ''), 2)) LEFT JOIN kern ON kern.pair = lower(right(token, 1) || coalesce(after, ''))),
+walk AS (
+  SELECT item_id, CAST(0 AS BIGINT) AS n, 100.0::DOUBLE AS pen, 100.0::DOUBLE AS x, CAST(150 AS BIGINT) AS y, CAST(0 AS BIGINT) AS line FROM (SELECT DISTINCT item_id FROM gs)
+  UNION ALL
+  SELECT item_id, n, CASE WHEN char IS NULL THEN start + 9.0::DOUBLE ELSE start + trunc(ink_w * (high / bank_h)) + 2.0::DOUBLE * kern END + CASE WHEN finishes THEN 30.0::DOUBLE * (1 - 0.05::DOUBLE * (line / lines)) ELSE 0 END, start, y, line FROM (
+    SELECT s.*, s.from_x + s.delta * (1 - 0.05::DOUBLE * (s.line / s.lines)) AS start FROM (
+      SELECT g.*, l.n AS lines, CASE WHEN g.begins AND f.pen + g.width > 1100 AND f.pen > 150 THEN 100.0::DOUBLE ELSE f.pen END AS from_x,
+        CASE WHEN g.begins AND f.pen + g.width > 1100 AND f.pen > 150 THEN f.y + 55 ELSE f.y END AS y, CASE WHEN g.begins AND f.pen + g.width > 1100 AND f.pen > 150 THEN f.line + 1 ELSE f.line END AS line
+      FROM walk f JOIN gs g ON g.item_id = f.item_id AND g.n = f.n + 1 JOIN lines l ON l.item_id = g.item_id) s WHERE s.y + 30 <= 1450))
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY n) - 1 AS INTEGER) AS pos, CAST(word AS INTEGER) AS word, token, char, CAST(variant AS INTEGER) AS variant, CAST(line AS INTEGER) AS line, round(walk.x, 4) AS x,
+  CAST(walk.y - high + CASE WHEN token IN ('g','j','p','q','y') THEN 6 ELSE 0 END AS DOUBLE) AS y, CAST(least(CAST(trunc(w * (high / bank_h)) AS BIGINT), 90) AS INTEGER) AS w, CAST(high AS INTEGER) AS h
+FROM walk JOIN gs USING (item_id, n) WHERE char IS NOT NULL""",
+    "band_alignment": """
+WITH RECURSIVE b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS band, len(string_split(text, ' ')) AS words FROM conversations),
+e(n, want) AS (VALUES (0, 20), (1, 30), (2, 25), (3, 40), (4, 20)),
+p AS (SELECT x.conv_id, x.band, x.words, y.words AS more FROM b x LEFT JOIN b y ON y.conv_id = x.conv_id AND y.band = x.band + 1),
+walk AS (
+  SELECT DISTINCT conv_id, -1 AS sentence, CAST(0 AS BIGINT) AS upcoming, CAST(0 AS BIGINT) AS band, CAST(0 AS BIGINT) AS taken, '' AS kind FROM b
+  UNION ALL
+  SELECT conv_id, n, band + taken, band, taken, kind FROM (
+    SELECT w.conv_id, e.n, p.band, CASE WHEN abs(words - want) > 2 AND abs(words + more - want) <= 2 THEN 2 ELSE 1 END AS taken,
+      CASE WHEN abs(words - want) <= 2 THEN 'exact' WHEN abs(words + more - want) <= 2 THEN 'merged_bands' ELSE 'partial' END AS kind
+    FROM walk w JOIN e ON e.n = w.sentence + 1 JOIN p ON p.conv_id = w.conv_id AND p.band = w.upcoming))
+SELECT conv_id, CAST(sentence AS BIGINT) AS sentence, band, taken, kind FROM walk WHERE sentence >= 0""",
+    "component_stats": f"""
+WITH RECURSIVE {_S}, c AS (SELECT vec_id, i, i // 8 AS y, i % 8 AS x FROM s WHERE v * 1000 >= 61),
+near AS (SELECT a.vec_id, a.i AS i, b.i AS j FROM c a JOIN c b ON b.vec_id = a.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach AS (SELECT vec_id, i, i AS j FROM c UNION SELECT r.vec_id, r.i, n.j FROM reach r JOIN near n ON n.vec_id = r.vec_id AND n.i = r.j),
+own AS (SELECT vec_id, i, min(j) AS root FROM reach GROUP BY 1, 2),
+parts AS (SELECT vec_id, root, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS n FROM own JOIN c USING (vec_id, i) GROUP BY 1, 2)
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY root) - 1 AS component, x0 * 4 AS "left", y0 * 4 AS top, (x1 - x0 + 1) * 4 AS width, (y1 - y0 + 1) * 4 AS height, n * 16 AS area FROM parts""",
     "event_windows": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2",
     "signal_runs": f"WITH {_RUNS} SELECT * FROM r",
     "merge_close_runs": f"""
@@ -141,11 +207,12 @@ SELECT vec_id, min(start) AS start, max(stop) AS stop FROM g GROUP BY vec_id, gr
 WITH {_S} SELECT vec_id, i % 8 AS "at", round(sum(greatest(v, 0)), 6) AS ink, 'x' AS axis FROM s GROUP BY 1, 2
 UNION ALL SELECT vec_id, i // 8, round(sum(greatest(v, 0)), 6), 'y' FROM s GROUP BY 1, 2""",
     "ink_bbox": f"""WITH {_S} SELECT vec_id, min(i % 8) AS "left", min(i // 8) AS top, max(i % 8) + 1 AS "right", max(i // 8) + 1 AS bottom, count(*) AS ink_px FROM s WHERE v > 0.1::DOUBLE GROUP BY 1""",
-    "line_contamination": f"""
-WITH {_S}, y AS (SELECT vec_id, max(s) AS sy FROM (SELECT vec_id, i // 8 AS k, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) / 8 AS s FROM s GROUP BY 1, 2) GROUP BY 1),
-x AS (SELECT vec_id, max(s) AS sx FROM (SELECT vec_id, i % 8 AS k, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) / 8 AS s FROM s GROUP BY 1, 2) GROUP BY 1),
-f AS (SELECT label, vec_id, sy >= 0.875 OR sx >= 0.875 AS bad FROM embeddings JOIN y USING (vec_id) JOIN x USING (vec_id))
-SELECT label, count(*) AS total, count(*) FILTER (bad) AS contaminated, coalesce(array_to_string(list_sort(list(vec_id) FILTER (bad))[1:5], ','), '') AS first_five, round(count(*) FILTER (bad) / count(*) * 100, 2) AS pct FROM f GROUP BY 1""",
+    "line_contamination": """
+WITH f AS (
+  SELECT label, vec_id, list_max(list_transform(range(8), lambda k: len(list_filter(embedding[8 * k + 1:8 * k + 8], lambda v: v > 0)))) > 0.6::DOUBLE * 8
+    OR list_max(list_transform(range(8), lambda k: len(list_filter(range(8), lambda r: embedding[8 * r + k + 1] > 0)))) > 0.6::DOUBLE * 8 AS bad FROM embeddings)
+SELECT label, CAST(grouping(label) AS BIGINT) AS is_total, count(*) AS total, count(*) FILTER (bad) AS contaminated, coalesce(array_to_string(list_sort(list(vec_id) FILTER (bad))[1:5], ','), '') AS first_five,
+  round(count(*) FILTER (bad) / count(*) * 100, 2) AS pct FROM f GROUP BY GROUPING SETS ((label), ())""",
     "ncc_pairs": """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 c AS (SELECT vec_id, list_transform(e, lambda x: x - list_avg(e)) AS c FROM e)

@@ -17,6 +17,19 @@ BANK = f"""bank AS (
   SELECT substr('{LOWER}', CAST(i AS INTEGER) + 1, 1) AS char, v AS variant, 25 + 3 * v + i % 5 AS w, 40 + 2 * v AS h, 19 + 3 * v + i % 5 AS ink_w, 34 + 2 * v AS ink_h FROM range(26) t(i), range(3) u(v)
   UNION ALL SELECT substr('{UPPER}', CAST(i AS INTEGER) + 1, 1), v, 35 + 3 * v, 55 + 2 * v, 29 + 3 * v, 49 + 2 * v FROM range(26) t(i), range(2) u(v)
   UNION ALL SELECT substr({quote(BANK_PUNCT)}, CAST(i AS INTEGER) + 1, 1), 0, 8, 15, 4, 9 FROM range({len(BANK_PUNCT)}) t(i))"""
+
+
+def bank_with(ngrams: tuple[str, ...]) -> str:
+    more = ", ".join(f"({quote(n)}, 0, {25 * len(n)}, 40, {25 * len(n) - 6}, 34)" for n in ngrams)
+    return f"{BANK[:-1]}\n  UNION ALL SELECT * FROM (VALUES {more}))"
+
+
+def bank_tokens(ngrams: tuple[str, ...]) -> str:
+    """Tokens of texts that are set with a bank of these n-grams, the longest first."""
+    first = "|".join(sorted(ngrams, key=lambda n: -len(n)))
+    return f"list_transform(regexp_extract_all(coalesce(text, ''), '(?is)({first}|[^\\x20\\x09-\\x0D])', 1), lambda t: CASE WHEN length(t) > 1 THEN lower(t) ELSE t END)"
+
+
 KEYS = "keys AS (SELECT char, count(*) AS k FROM bank GROUP BY char)"
 SWAP = "CASE WHEN regexp_matches({0}, '^\\p{{Ll}}$') THEN upper({0}) ELSE lower({0}) END"
 CATEGORY = "CASE WHEN length({0}) > 1 THEN 'bigrams' WHEN regexp_matches({0}, '^\\p{{Ll}}$') THEN 'lowercase' WHEN regexp_matches({0}, '^\\p{{Lu}}$') THEN 'uppercase' WHEN regexp_matches({0}, '^\\p{{Nd}}$') THEN 'digits' ELSE 'punctuation' END"

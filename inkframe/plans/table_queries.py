@@ -41,7 +41,7 @@ def style_metrics_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upper_median_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select("o_orderpriority", F.floor(F.col("o_totalprice") / 1000).alias("h"))
-    target = rows.groupBy("o_orderpriority").agg(quality.upper_median(F.collect_list("h")).alias("target"), F.min("h").alias("low"), F.max("h").alias("high"))
+    target = rows.groupBy("o_orderpriority").agg(quality.upper_median("h").cast("long").alias("target"), F.min("h").alias("low"), F.max("h").alias("high"))
     skip = (F.col("high") - F.col("low")) / F.greatest(F.col("high"), F.lit(1)) < 0.2
     return target.select("o_orderpriority", "target", F.when(skip, "skip").otherwise("resize").alias("action"))
 
@@ -79,7 +79,7 @@ def nearest_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quadrant_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, customer = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer").filter("c_acctbal > 5000")
+    nation, customer = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
     best = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.max(F.struct("c_acctbal", F.col("c_custkey").alias("k"))).alias("m"))
     return nation.join(best, "n_nationkey", "left").select("n_nationkey", F.coalesce("m.k", F.lit(-1).cast("long")).alias("best"), F.coalesce("m.c_acctbal", F.lit(0.0)).alias("area"))
 
@@ -108,8 +108,8 @@ def review_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of parts by quality, then by size descending; ties by key."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     level = F.when(F.col("p_size") < 5, 0).when(F.col("p_size") < 15, 2).otherwise(3)
-    by_brand = Window.partitionBy("p_brand")
-    return part.select("p_partkey", F.row_number().over(by_brand.orderBy(level, "p_partkey")).cast("long").alias("by_quality"), F.row_number().over(by_brand.orderBy(F.desc("p_size"), "p_partkey")).cast("long").alias("by_size"))
+    quality_places = runs.places(part, ["p_brand"], level, "p_partkey", "by_quality")
+    return runs.places(quality_places, ["p_brand"], -F.col("p_size"), "p_partkey", "by_size").select("p_partkey", "by_quality", "by_size")
 
 
 def worst_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +212,7 @@ d AS (SELECT l_discount, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT l
 SELECT CAST(b.level AS BIGINT) AS level, CAST(score AS BIGINT) AS score, CAST(sum(n) AS BIGINT) AS n FROM b JOIN l ON l.level = b.level GROUP BY 1, 2""",
     "quadrant_argmax": """
 SELECT n_nationkey, coalesce(k, -1) AS best, coalesce(a, 0.0::DOUBLE) AS area FROM nation LEFT JOIN (
-  SELECT c_nationkey, c_custkey AS k, c_acctbal AS a FROM customer WHERE c_acctbal > 5000 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey DESC) = 1) ON c_nationkey = n_nationkey""",
+  SELECT c_nationkey, c_custkey AS k, c_acctbal AS a FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey DESC) = 1) ON c_nationkey = n_nationkey""",
     "bottleneck_top2": """
 WITH r AS (SELECT user_id, event_type, round(100.0::DOUBLE - min(value), 6) AS risk FROM events GROUP BY 1, 2)
 SELECT event_type, place, count(*) AS n FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY risk DESC, event_type) AS place FROM r) WHERE place <= 2 GROUP BY 1, 2""",

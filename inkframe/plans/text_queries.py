@@ -21,11 +21,15 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spread(read(spark, sf_dir, name).select(*columns))
 
 
+#: N-grams of the bank that texts are set with; the others are set by their letters.
+HELD = ("ing", "th", "he")
+
+
 def glyph_review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyphs that setting all documents uses, reviewed: uses by category and quality."""
-    bank = dims.dummy_bank(spark)
+    bank = dims.dummy_bank(spark, HELD)
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
-    counts = docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    counts = docs.select("doc_id", F.explode(text.tokens(F.col("text"), text.bank_ngrams(bank))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     found = text.with_fallback(counts, bank)
     kind = codec.category(F.col("token")).alias("category")
     missing = found.filter("char IS NULL").select(kind, F.lit("missing").alias("quality"), F.col("n").alias("uses"))
@@ -74,8 +78,9 @@ def kerning_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variant_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.tokens(F.col("text"))).alias("pos", "token"))
-    found = text.with_fallback(rows, dims.dummy_bank(spark)).filter("char IS NOT NULL")
+    bank = dims.dummy_bank(spark, HELD)
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.tokens(F.col("text"), text.bank_ngrams(bank))).alias("pos", "token"))
+    found = text.with_fallback(rows, bank).filter("char IS NOT NULL")
     placed = text.round_robin(found, ["conv_id"], "char", ["turn", "pos"], F.col("k"))
     return placed.groupBy("conv_id", "char", "variant").agg(F.count("*").alias("uses"), F.min(F.struct("turn", "pos"))["pos"].cast("long").alias("first_pos"))
 
@@ -161,11 +166,11 @@ _FOUND = f"LEFT JOIN keys a ON a.char = t.token LEFT JOIN keys b ON length(t.tok
 
 ORACLES = {
     "glyph_review_summary": f"""
-WITH {sql.BANK}, {sql.KEYS},
-t AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({sql.TOKENS}) AS token FROM documents) GROUP BY 1, 2),
+WITH {sql.bank_with(HELD)}, {sql.KEYS},
+t AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({sql.bank_tokens(HELD)}) AS token FROM documents) GROUP BY 1, 2),
 f AS (SELECT t.token, t.n, coalesce(a.char, b.char) AS char, coalesce(a.k, b.k) AS k FROM t {_FOUND}),
 u AS (SELECT {sql.CATEGORY.format('token')} AS category,
-    CASE WHEN w < 8 OR h < 8 OR w / h > (CASE WHEN f.char IN ('m','w','M','W') THEN 3.5 ELSE 2.2 END) OR w / h < 0.15 OR ink_w * ink_h < 50 THEN 'rejected' WHEN ink_w * ink_h < 150 THEN 'warning' ELSE 'good' END AS quality,
+    CASE WHEN w < 8 OR h < 8 OR w / h > (CASE WHEN f.char IN ('m','w','M','W','ing','th','he') THEN 3.5 ELSE 2.2 END) OR w / h < 0.15 OR ink_w * ink_h < 50 THEN 'rejected' WHEN ink_w * ink_h < 150 THEN 'warning' ELSE 'good' END AS quality,
     greatest(0, (n - variant + k - 1) // k) AS uses FROM f JOIN bank ON bank.char = f.char
   UNION ALL SELECT {sql.CATEGORY.format('token')}, 'missing', n FROM f WHERE char IS NULL)
 SELECT category, quality, CAST(sum(uses) AS BIGINT) AS uses FROM u WHERE uses > 0 GROUP BY 1, 2""",
@@ -187,12 +192,12 @@ SELECT count(*) AS seen, count(char) AS covered, count(*) FILTER (char <> token)
     "ligature_spacing": "SELECT item_id, CAST(" + " + ".join(f"len(regexp_extract_all(lower(coalesce(text, '')), '{p}')) * {d}" for p, d in dims.LIGATURES.items()) + " AS BIGINT) AS delta_px FROM benchmark",
     "kerning_pairs": f"""
 WITH {sql.KERN}, w AS (SELECT conv_id, turn, unnest({sql.WORDS}) AS word FROM conversations),
-p AS (SELECT conv_id, turn, lower(substr(word, CAST(i AS INTEGER), 2)) AS pair FROM w, range(1, 200) t(i) WHERE i < length(word)),
+p AS (SELECT conv_id, turn, lower(substr(word, CAST(i AS INTEGER), 2)) AS pair FROM (SELECT conv_id, turn, word, unnest(range(1, length(word))) AS i FROM w)),
 f AS (SELECT p.*, coalesce(factor, 1.0::DOUBLE) AS f FROM p LEFT JOIN kern USING (pair)),
 s AS (SELECT conv_id, turn, count(*) AS gaps, count(*) FILTER (f < 1) AS tight, count(*) FILTER (f > 1) AS loose FROM f GROUP BY 1, 2)
 SELECT c.conv_id, c.turn, coalesce(gaps, 0) AS gaps, coalesce(tight, 0) AS tight, coalesce(loose, 0) AS loose FROM conversations c LEFT JOIN s ON s.conv_id = c.conv_id AND s.turn = c.turn""",
     "variant_round_robin": f"""
-WITH {sql.BANK}, {sql.KEYS}, t AS (SELECT conv_id, turn, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS token FROM (SELECT conv_id, turn, {sql.TOKENS} AS x FROM conversations)),
+WITH {sql.bank_with(HELD)}, {sql.KEYS}, t AS (SELECT conv_id, turn, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS token FROM (SELECT conv_id, turn, {sql.bank_tokens(HELD)} AS x FROM conversations)),
 f AS (SELECT t.*, coalesce(a.char, b.char) AS char, coalesce(a.k, b.k) AS k FROM t {_FOUND}),
 r AS (SELECT conv_id, char, turn, pos, (row_number() OVER (PARTITION BY conv_id, char ORDER BY turn, pos) - 1) % k AS variant FROM f WHERE char IS NOT NULL)
 SELECT conv_id, char, variant, count(*) AS uses, CAST(arg_min(pos, turn * 1000000 + pos) AS BIGINT) AS first_pos FROM r GROUP BY 1, 2, 3""",

@@ -23,7 +23,10 @@ MORE_PUNCT_NAMES = {
     "underscore": "_", "percent": "%", "caret": "^", "asterisk": "*", "plus": "+", "equals": "=", "less": "<", "greater": ">",
     "lbracket": "[", "rbracket": "]", "lbrace": "{", "rbrace": "}", "pipe": "|", "backtick": "`", "tilde": "~", "backslash": "\\",
 }
-KERNING = {p: 0.70 for p in "av ay aw fa fo ly oy to va vo wa we wo ya yo".split()} | {p: 1.15 for p in "ri fl fi ll".split()}
+KERNING = {
+    "av": 0.70, "ay": 0.70, "aw": 0.70, "fa": 0.70, "fo": 0.70, "ly": 0.70, "oy": 0.70, "to": 0.70, "va": 0.70, "vo": 0.70,
+    "wa": 0.70, "we": 0.70, "wo": 0.70, "ya": 0.70, "yo": 0.70, "ri": 1.15, "fl": 1.15, "fi": 1.15, "ll": 1.15,
+}
 LIGATURES = {"th": -3, "he": -2, "in": -2, "re": -2, "an": -1, "on": -1, "en": -1, "er": -1, "ed": -1}
 GRIDS = {1: (6, 10), 2: (6, 10), 3: (6, 10), 4: (8, 11)}
 PAGE = {"width": 2550, "height": 3300, "left": 150, "right": 150, "top": 285, "bottom": 135}
@@ -47,11 +50,12 @@ def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def dummy_bank(spark: SparkSession) -> DataFrame:
-    """(char, variant, w, h, ink_w, ink_h) of the closed-form bank."""
+def dummy_bank(spark: SparkSession, ngrams: tuple[str, ...] = ()) -> DataFrame:
+    """(char, variant, w, h, ink_w, ink_h) of the closed-form bank, and a glyph for each of ``ngrams``."""
     rows = [(c, v, 25 + 3 * v + i % 5, 40 + 2 * v, 6, 6) for i, c in enumerate(LOWER) for v in range(3)]
     rows += [(c, v, 35 + 3 * v, 55 + 2 * v, 6, 6) for c in UPPER for v in range(2)]
     rows += [(c, 0, 8, 15, 4, 6) for c in BANK_PUNCT]
+    rows += [(n, 0, 25 * len(n), 40, 6, 6) for n in ngrams]
     return table(spark, [(c, v, w, h, w - a, h - b) for c, v, w, h, a, b in rows], "char string, variant long, w long, h long, ink_w long, ink_h long")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkframe.functions.codec import parse_stem
-from inkframe.operators import kernels, photo, quality
+from inkframe.operators import kernels, layout, photo, quality
 from inkframe.sources import png
 
 MANIFEST = "page int, cell int, row int, col int, label string, variant int, display string"
@@ -120,6 +120,17 @@ def png_rows(images: DataFrame, column: str = "image") -> DataFrame:
     return images.select("stem", column).mapInPandas(run, "stem string, png binary")
 
 
+def with_files(bank: DataFrame) -> DataFrame:
+    """A bank of closed-form glyphs with their images as PNG files, ready for a sink."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(png=[png.encode(layout.Glyph(r.w, r.h, r.ink_w, r.ink_h, r.variant).image()) for r in frame.itertuples()])
+
+    fields = ", ".join(f"{n} {t}" for n, t in bank.dtypes)
+    return bank.mapInPandas(run, f"{fields}, png binary")
+
+
 def contact_sheet(glyphs: DataFrame, sheet: str, order: list[str], columns: int = 16, thumb: tuple[int, int] = (80, 64)) -> DataFrame:
     """Adds the place of each glyph on its sheet: column, row, scale, x and y; thumbnails are centred and never cut."""
     place = F.row_number().over(Window.partitionBy(sheet).orderBy(*order)) - 1

@@ -1,10 +1,13 @@
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkframe.functions import codec, params
-from inkframe.operators import kernels, layout, photo, quality, runs, stateful
-from inkframe.sources import dims
+from inkframe.operators import kernels, layout, photo, quality, runs, stateful, text
+from inkframe.sources import dims, png
 
 
 def one(spark, column):
@@ -132,3 +135,44 @@ def test_similarity(spark):
     rows = spark.createDataFrame([("Hello", "hello "), ("", None), ("a", ""), ("Hello", "L110")], "a string, b string")
     found = [r.s for r in rows.select(stateful.similarity("a", "b").alias("s")).collect()]
     assert found[:3] == [1.0, 1.0, 0.0] and round(found[3] * 100, 1) == 22.2
+
+
+def test_ngrams_go_by_the_bank(spark):
+    bank = dims.dummy_bank(spark, ("th", "ing"))
+    assert text.bank_ngrams(bank) == ("ing", "th") and text.bank_ngrams(dims.dummy_bank(spark)) == ()
+    assert one(spark, text.tokens(F.lit("The thing"), ("ing", "th"))) == ["th", "e", "th", "ing"]
+    assert one(spark, text.tokens(F.lit("Th e"), ())) == ["T", "h", "e"]
+
+
+def test_large_banks_are_joined(spark):
+    bank = dims.dummy_bank(spark, ("th", "tion"))
+    docs = spark.createDataFrame([(1, "The nation's thing"), (2, None), (3, "éa"), (None, "x")], "doc_id long, text string")
+    by_value = layout.placements(docs, "doc_id", bank).collect()
+    assert {r.char for r in by_value} >= {"th", "tion", "a"}
+    assert sorted(by_value, key=str) == sorted(layout.placements(docs, "doc_id", bank, most=3).collect(), key=str)
+
+
+def test_places_equal_one_window(spark):
+    rows = spark.createDataFrame([(k % 3, k * k % 7, k) for k in range(200)], "g long, r long, k long")
+    found = runs.places(rows, ["g"], F.col("r"), "k", "place", span=16)
+    for g in range(3):
+        own = sorted((r.r, r.k, r.place) for r in found.collect() if r.g == g)
+        assert [p for *_, p in own] == list(range(1, len(own) + 1))
+
+
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_png_round_trip(channels):
+    image = np.random.default_rng(channels).integers(0, 255, (9, 7, channels)).astype(np.uint8)
+    image = image[:, :, 0] if channels == 1 else image
+    data = png.encode(image)
+    assert (png.decode(data) == image).all()
+    body = zlib.decompress(data[data.index(b"IDAT") + 4 : data.index(b"IEND") - 8])
+    rows = np.frombuffer(body, np.uint8).reshape(9, -1)[:, 1:].reshape(9, 7, channels).astype(int)
+    for kind in (1, 2, 3, 4):  # the same picture, filtered
+        padded = np.pad(rows, ((1, 0), (1, 0), (0, 0)))
+        left, up, corner = padded[1:, :-1], padded[:-1, 1:], padded[:-1, :-1]
+        near = np.array([[[min((abs(p - a), k) for k, a in enumerate((l, u, c)))[1] for l, u, c, p in zip(*z)] for z in zip(lr, ur, cr, lr + ur - cr)] for lr, ur, cr in zip(left, up, corner)])
+        guess = {1: left, 2: up, 3: (left + up) // 2, 4: np.choose(near, (left, up, corner))}[kind]
+        filtered = np.concatenate((np.full((9, 1), kind), ((rows - guess) % 256).reshape(9, -1)), axis=1).astype(np.uint8)
+        head, chunk = data[: data.index(b"IDAT") - 4], zlib.compress(filtered.tobytes())
+        assert (png.decode(head + struct.pack(">I", len(chunk)) + b"IDAT" + chunk + b"\0" * 4) == image).all()

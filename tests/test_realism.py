@@ -17,18 +17,18 @@ def page(h=200, w=160):
 def test_layers(name):
     layer, own = realism.LAYERS[name], page()
     assert (realism.realism(own, {name: 0}) == own).all()
-    done = layer(own, 0.8)
-    assert done.shape == own.shape and (done != own).any() and (layer(own, 0.8) == done).all()
+    done = layer.laid(own, 0.8)
+    assert done.shape == own.shape and (done != own).any() and (layer.laid(own, 0.8) == done).all()
     assert done[:, :, 3].max() <= 240
 
 
 def test_layers_move_as_named():
     own = page()
-    far = realism.drift(own, 1.0)[:, :, 3]
+    far = realism.LAYERS["drift"].laid(own, 1.0)[:, :, 3]
     assert np.flatnonzero(far[20])[0] == 10 and np.flatnonzero(far[170])[0] == 10 + int(170 * 6 / 200)
-    faded = realism.fading(own, 1.0)[:, 50, 3]
+    faded = realism.LAYERS["fading"].laid(own, 1.0)[:, 50, 3]
     assert faded[20] > faded[100] > faded[170] == pytest.approx(240 * (1 - 0.5 * 170 / 199), abs=1)
-    crammed = realism.cramming(own, 1.0)[20, :, 3]
+    crammed = realism.LAYERS["cramming"].laid(own, 1.0)[20, :, 3]
     assert np.flatnonzero(crammed)[-1] < 139 and crammed[-1] == 0
     assert (realism.realism(own, realism.preset("perfect")) == own).all()
     assert realism.preset("unheard of") == realism.preset("natural")
