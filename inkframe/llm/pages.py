@@ -1,7 +1,7 @@
 """Main text of HTML pages by consensus host paths.
 
 Pass 1 parses each page, scores its containers and votes, for its host, on the path of the best one:
-the tags and classes from the root, digits generalised. Votes are summed in Spark (in each task first,
+the tags and classes from the root, digits generalised, by a 64-bit hash. Votes are summed in Spark (in each task first,
 so a host with a third of all pages is no hot key). Pass 2 parses again and takes all containers with
 the host's winning path, or those with the path of the page's own best where the page has none or where
 they hold far less text (`FAR`). There the host's path still wins over a path that usually has text
@@ -18,6 +18,7 @@ Pages without host go by their own best. Unclosed elements end with their parent
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, slices, small_batches, stash
 
-_TAG = re.compile(r"<!--.*?(?:--\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
-_ATTR = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
+#: The rest of a tag: a `>` counts inside quotes only where they begin a value. Nothing is tried twice.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
+_ATTR = re.compile(r"([A-Za-z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_COMMENT_END = re.compile(r"--\s*+>")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript textarea title template iframe svg select object".split())
@@ -46,17 +50,34 @@ AWAY = frozenset(
 )
 WEAK = frozenset("header side meta more widget notice alert banner hidden".split())
 FAR = 0.25
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _step(path: int, name: str) -> int:
+    """The 64-bit name of a path that goes on by an element."""
+    return int.from_bytes(hashlib.blake2b(f"{path}/{name}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
 class Node:
-    __slots__ = ("tag", "path", "up", "own", "away", "depth", "plain", "raw", "kept", "prior", "linked")
+    __slots__ = ("tag", "name", "path", "up", "own", "away", "depth", "plain", "raw", "kept", "prior", "linked", "block", "open")
 
-    def __init__(self, tag: str, path: str, up: Node | None, own: int, prior: float, linked: bool):
-        self.tag, self.path, self.up, self.own, self.prior, self.linked = tag, path, up, own, prior, linked
+    def __init__(self, tag: str, name: str, path: int, up: Node | None, own: int, prior: float, linked: bool):
+        self.tag, self.name, self.path, self.up, self.own, self.prior, self.linked = tag, name, path, up, own, prior, linked
         self.away = False
         self.depth = up.depth + 1 if up else 0
         self.plain = self.raw = self.kept = 0  # characters that aren't of a link: its own, all below, those below that aren't apart
+        self.block: Node = up.block if up is not None and tag in INLINE else self  # the nearest element that isn't inline
+        self.open: dict[str, list[Node]] = {}  # of a block: its open inline elements by tag
+
+    def steps(self) -> str:
+        """The path from the root, as text."""
+        names, node = [], self
+        while node is not None and node.up is not None:
+            if node.tag not in INLINE:
+                names.append(node.name)
+            node = node.up
+        return "".join(f"/{n}" for n in reversed(names))
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -89,52 +110,99 @@ def _judge(tag: str, rest: str, up: Node) -> tuple[str, int, float]:
     return name, 2 if named else int(away), prior
 
 
+class Tags:
+    """The tags of a page in turn; ``at`` is where the next search begins.
+
+    A tag whose quotes swallow the rest of the page ends at its first `>`; after two such tags quotes count
+    no more, so the scan stays linear. Without a further `>` all is text, but an open comment goes on to the end.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.at, self.last, self.bad = source, 0, source.rfind(">"), 0
+
+    def next(self) -> tuple[int, str | None, bool, str] | None:
+        """(start, tag, whether it ends an element, the rest of it); comments and declarations have no tag."""
+        source = self.source
+        if (m := _OPENS.search(source, self.at)) is None:
+            return None
+        end = m.end()
+        if source.startswith("<!--", m.start()):
+            closed = _COMMENT_END.search(source, end)
+            self.at = closed.end() if closed else len(source)
+            return m.start(), None, False, ""
+        if end > self.last:
+            return None
+        if m[2] is None:
+            self.at = source.find(">", end) + 1
+            return m.start(), None, False, ""
+        until = _REST.match(source, end).end() if self.bad < 2 else len(source)
+        if until == len(source):
+            self.bad, until = self.bad + 1, source.find(">", end)
+        self.at = until + 1
+        return m.start(), m[2].lower(), bool(m[1]), source[end:until]
+
+    def skip(self, tag: str) -> None:
+        """On behind the end of an element of raw text."""
+        closed = _RAW_END[tag].search(self.source, self.at)
+        self.at = (self.source.find(">", closed.end()) + 1 if closed else 0) or len(self.source)
+
+
 class Page:
     """The containers of a page, and its text pieces in order: (node, piece), or (None, "") between blocks."""
 
     def __init__(self, source: str):
-        self.root = Node("", "", None, 0, 1.0, False)
+        self.root = Node("", "", 0, None, 0, 1.0, False)
         self.nodes: list[Node] = [self.root]
         self.all: list[Node] = [self.root]  # parents before children
-        self.shares: Counter[str] | None = None  # text below elements that look apart and have another name, by path
         self.pieces: list[tuple[Node | None, str]] = []
-        at, here = 0, self.root
-        lower = None
-        while True:
-            m = _TAG.search(source, at)
-            if m is None:
-                self._text(source[at:], here)
-                break
-            if m.start() > at:
-                self._text(source[at : m.start()], here)
-            at = m.end()
-            tag = m[2]
+        self.opened: Counter[str] = Counter()  # open elements that aren't inline, by tag
+        found, before, here = Tags(source), 0, self.root
+        while (met := found.next()) is not None:
+            start, tag, ends, rest = met
+            if start > before:
+                self._text(source[before:start], here)
             if tag is None:
-                continue
-            tag = tag.lower()
-            if m[1]:
+                pass
+            elif ends:
                 here = self._close(tag, here)
             elif tag == "br":
                 self._text(" ", here)
             elif tag in RAW:
-                if not m[3].endswith("/"):
-                    lower = lower or source.lower()
-                    end = lower.find(f"</{tag}", at)
-                    at = len(source) if end < 0 else end
-                    if end >= 0:
-                        at = source.find(">", end) + 1 or len(source)
-            elif tag in VOID:
-                if tag == "hr":
-                    self.pieces.append((None, ""))
-            else:
-                here = self._open(tag, m[3], here)
+                if not rest.endswith("/"):
+                    found.skip(tag)
+            elif tag not in VOID:
+                here = self._open(tag, rest, here)
                 self.all.append(here)
+            elif tag == "hr":
+                self.pieces.append((None, ""))
+            before = found.at
+        if before < len(source):
+            self._text(source[before:], here)
         for node in reversed(self.all):
             node.raw += node.plain
             if node.up is not None:
                 node.up.raw += node.raw
+        self._survey()
         self._settle(frozenset())
 
+    def _survey(self) -> None:
+        """What `_around` asks of the page: the text at each path of elements that look apart but are named content,
+        and how many containers of content, below nothing that looks apart, there are, in all and above each node."""
+        page = self.root.raw
+        self.shares: Counter[int] = Counter()
+        self.above: dict[int, int] = {}
+        below_own: dict[int, bool] = {}
+        self.contents = 0
+        holders = set(map(id, self.nodes))
+        for node in self.all:
+            up = node.up
+            if node.own == 2:
+                self.shares[node.path] += node.raw
+            hidden = below_own[id(node)] = up is not None and (bool(up.own) or below_own[id(up)])
+            content = id(node) in holders and node.prior > 1 and not node.own and not hidden and node.raw > 0 and (node.tag in ("article", "main") or 20 * node.raw >= page)
+            self.contents += content
+            self.above[id(node)] = (self.above[id(up)] if up is not None else 0) + content
+
     def _settle(self, wanted: frozenset[int]) -> None:
         """Which elements are apart, none of those with the ids ``wanted``, and how much text is kept below each."""
         held: set[int] = set(wanted)
@@ -159,74 +227,71 @@ class Page:
         """Whether an element that looks apart is content by its size: with another name that says so and a quarter
         of the page's text (along with others of its path), or around four fifths of it, with no content elsewhere."""
         page = self.root.raw
-        if node.own == 2:
-            if self.shares is None:
-                self.shares = Counter()
-                for n in self.all:
-                    if n.own == 2:
-                        self.shares[n.path] += n.raw
-            if 4 * self.shares[node.path] >= page > 0:
-                return True
-        if 5 * node.raw < 4 * page or not page:
-            return False
-        for other in self.nodes:
-            if other.prior > 1 and not other.own and other.raw and (other.tag in ("article", "main") or 20 * other.raw >= page):
-                up: Node | None = other
-                while up is not None and up is not node and not (up.own and up is not other):
-                    up = up.up
-                if up is None and not self._inside(node, other):
-                    return False
-        return True
-
-    @staticmethod
-    def _inside(node: Node | None, holder: Node) -> bool:
-        while node is not None and node is not holder:
-            node = node.up
-        return node is not None
+        if node.own == 2 and 4 * self.shares[node.path] >= page > 0:
+            return True
+        return 5 * node.raw >= 4 * page > 0 and self.above[id(node)] == self.contents
 
     def _text(self, text: str, here: Node) -> None:
         if "&" in text:
             text = html.unescape(text)
         self.pieces.append((here, text))
         if not here.linked:
-            size = len(text.strip())
-            here.plain += size
+            here.plain += len(text.strip())
+
+    def _leave(self, node: Node) -> None:
+        """An element is open no more."""
+        if node.tag in INLINE:
+            node.block.open[node.tag].pop()
+        else:
+            self.opened[node.tag] -= 1
+
+    def _up_to(self, here: Node, top: Node) -> Node:
+        """Closes all from ``here`` to ``top``; the element that is open then."""
+        while here is not top:
+            self._leave(here)
+            here = here.up
+        self._leave(top)
+        return top.up
 
     def _open(self, tag: str, rest: str, here: Node) -> Node:
-        if tag not in INLINE:
-            self.pieces.append((None, ""))
-            ends = CLOSES.get(tag)
-            node = here
-            while node is not None and (node.tag in INLINE or node.tag == "p" or ends and node.tag in ends):
-                if node.tag not in INLINE:
-                    here = node.up
-                    if ends is None or node.tag in ends and tag not in ("tr",):
-                        break
-                node = node.up
-        if tag in INLINE and not rest and tag != "a":
-            return Node(tag, here.path, here, 0, 1.0, here.linked)
+        if tag in INLINE:
+            if not rest and tag != "a":
+                child = Node(tag, tag, here.path, here, 0, 1.0, here.linked)
+            else:
+                _, away, prior = _judge(tag, rest, here)
+                child = Node(tag, tag, here.path, here, away, prior, here.linked or tag == "a")
+            child.block.open.setdefault(tag, []).append(child)
+            return child
+        self.pieces.append((None, ""))
+        ends = CLOSES.get(tag, frozenset())
+        while (block := here.block).tag == "p" or block.tag in ends:
+            here = self._up_to(here, block)
+            if not ends or block.tag in ends and tag != "tr":
+                break
         name, away, prior = _judge(tag, rest, here)
-        child = Node(tag, here.path if tag in INLINE else f"{here.path}/{name}", here, away, prior, here.linked or tag == "a")
+        child = Node(tag, name, _step(here.path, name), here, away, prior, here.linked)
+        self.opened[tag] += 1
         if tag in HOLDERS:
             self.nodes.append(child)
         return child
 
     def _close(self, tag: str, here: Node) -> Node:
-        node = here
-        while node is not None and node.tag != tag:
-            if tag in INLINE and node.tag not in INLINE:
-                return here
-            node = node.up
-        if node is None or node.up is None:
+        """An inline element's end counts inside its block only; one that ends nothing open is ignored."""
+        if tag in INLINE:
+            own = here.block.open.get(tag)
+            return self._up_to(here, own[-1]) if own else here
+        if not self.opened[tag]:
             return here
-        if tag not in INLINE:
-            self.pieces.append((None, ""))
-        return node.up
+        node = here.block
+        while node.tag != tag:
+            node = node.up.block
+        self.pieces.append((None, ""))
+        return self._up_to(here, node)
 
     def best(self) -> tuple[Node, float]:
-        """The first of the containers of one path with the highest score together: their plain text, times the
-        priors on its way; deeper ones win while they hold most of the text."""
-        kept: Counter[str] = Counter()
+        """The first of the containers of one path with the highest score: the plain text of them all together, times
+        the container's own prior and a little for its depth; deeper ones win while they hold most of the text."""
+        kept: Counter[int] = Counter()
         for node in self.nodes:
             if not node.away:
                 kept[node.path] += node.kept
@@ -242,42 +307,35 @@ class Page:
             up = up.up
         return found, max(top, 0.0)
 
-    def at(self, path: str) -> list[Node]:
+    def at(self, path: int) -> list[Node]:
         """The containers with plain text at ``path``, in page order."""
         there = [n for n in self.nodes if n.path == path and n.raw]
         if there and all(n.away for n in there):
             self._settle(frozenset(map(id, there)))
         return [n for n in there if n.kept and not n.away]
 
-    def chosen(self, path: str | None, beside: frozenset[str]) -> list[Node]:
+    def chosen(self, path: int | None, beside: frozenset[int]) -> list[Node]:
         """The containers to take where ``path`` is the host's."""
         own = self.best()[0]
         whole = [n for n in self.nodes if n.path == own.path and not n.away and n.kept] or [own]
-        there = self.at(path) if path else []
+        there = self.at(path) if path is not None else []
         if not there or sum(n.kept for n in there) < FAR * sum(n.kept for n in whole) and own.path not in beside:
             return whole
         return there
 
     def text(self, *holders: Node) -> str:
-        blocks, block = [], []
-        holders = set(holders)
+        """The blocks below the holders, but for what is apart, in page order."""
+        wanted = set(map(id, holders))
         inside: dict[int, bool] = {}
-        for node, piece in self.pieces:
+        for node in self.all:
+            inside[id(node)] = id(node) in wanted or node.up is not None and inside[id(node.up)]
+        blocks, block = [], []
+        for node, piece in [*self.pieces, (None, "")]:
             if node is None:
-                if block:
-                    blocks.append(" ".join("".join(block).split()))
-                    block = []
-                continue
-            known = inside.get(id(node))
-            if known is None:
-                up = node
-                while up is not None and up not in holders:
-                    up = up.up
-                known = inside[id(node)] = up is not None and not node.away
-            if known:
+                blocks.append(" ".join("".join(block).split()))
+                block = []
+            elif inside[id(node)] and not node.away:
                 block.append(piece)
-        if block:
-            blocks.append(" ".join("".join(block).split()))
         return "\n\n".join(b for b in blocks if b)
 
 
@@ -287,9 +345,9 @@ def host_of(url: Column) -> Column:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.float64()), ("seen", pa.float64())])
-    votes: Counter[tuple[str, str]] = Counter()
-    seen: Counter[tuple[str, str]] = Counter()  # pages with text there
+    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("votes", pa.float64()), ("seen", pa.float64())])
+    votes: Counter[tuple[str, int]] = Counter()
+    seen: Counter[tuple[str, int]] = Counter()  # pages with text there
 
     def flush() -> pa.RecordBatch:
         out = arrow_rows(schema, host=[h for h, _ in seen], path=[p for _, p in seen], votes=[float(votes[k]) for k in seen], seen=list(map(float, seen.values())))
@@ -322,7 +380,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(source)
             holders = page.chosen(path, frozenset(beside or ()))
             texts.append(page.text(*holders))
-            paths.append(holders[0].path)
+            paths.append(holders[0].steps())
         yield arrow_rows(schema, page_id=batch.column("page_id").cast(pa.int64()), url=batch.column("url"), text=texts, n_chars=[len(t) for t in texts], path=paths)
 
 
@@ -333,7 +391,7 @@ def main_text(pages: DataFrame, broadcast_hosts: int = 50_000) -> DataFrame:
     """
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes double, seen double")
+    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path bigint, votes double, seen double")
     votes = stash(votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("seen").alias("seen")), "host-votes")
     best = votes.filter("votes > 0").groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("path"), F.sum("votes").alias("pages"))
     # at most ten times the paths of a usual page for each host

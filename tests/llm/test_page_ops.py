@@ -1,3 +1,8 @@
+import random
+import re
+import time
+from collections import Counter
+
 import pytest
 from oracle import SF, connect, same_rows
 from pyspark.sql import functions as F
@@ -127,3 +132,120 @@ def test_siblings_of_the_winning_path_are_joined_and_other_templates_kept(spark)
     assert extract(spark, *[usual] * 4, other, other)[-1] == ("another template " * 20).strip()
     rest = f"<body><div class='box'><div class='content'><p>{'most of it ' * 16}</p></div><p>{'the rest of it ' * 4}</p></div></body>"
     assert extract(spark, rest) == [("most of it " * 16).strip() + "\n\n" + ("the rest of it " * 4).strip()]
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [("", "/"), ("/a/./b/../c", "/a/c"), ("/a/..", "/"), ("/../x/.", "/x/"), ("/%7Euser/%2f%zz%4", "/~user/%2F%zz%4"), ("/a%2Eb/%c3%a9", "/a.b/%C3%A9"), ("/x..y/.z", "/x..y/.z"), ("/%2e%2E/q", "/q"), ("/50%", "/50%")],
+)
+def test_canonical_paths(spark, path, want):
+    assert spark.range(1).select(urls.canonical_path(F.lit(path)).alias("p")).first().p == want
+
+
+def test_full_and_tiny_filters_judge_alike(spark, monkeypatch):
+    listed = spark.range(500).select(F.concat(F.lit("h"), "id", F.lit(".net/a")).alias("key"), F.lit("block").alias("verdict"), F.lit(False).alias("named"))
+    rows = spark.range(1000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.h"), "id", F.lit(".net:443/./ab")).alias("url"))
+    found = sorted(map(tuple, urls.judge_urls(rows, listed).collect()))
+    assert sum(r[-1] == "block" for r in found) == 500
+    monkeypatch.setattr(urls, "FILTER_BYTES", 64)
+    assert sorted(map(tuple, urls.judge_urls(rows, listed, broadcast_keys=3).collect())) == found
+
+
+def test_entries_of_one_length_go_by_name(spark):
+    listed = spark.createDataFrame([("b.org/x", "block", True), ("b.org/x", "allow", True), ("b.org/y", "allow", True)], "key string, verdict string, named boolean")
+    rows = spark.createDataFrame([(1, "http://b.org/x"), (2, "http://b.org/y"), (2, "http://b.org/y")], "page_id long, url string")
+    assert sorted((r.page_id, r.rule, r.verdict) for r in urls.judge_urls(rows, listed).collect()) == [(1, "b.org/x", "block"), (2, "b.org/y", "allow"), (2, "b.org/y", "allow")]
+
+
+@pytest.mark.parametrize(
+    ("name", "html", "size"),
+    [
+        ("quotes", "<a " + '"' * 10_000, 10_003), ("both quotes", "<a " + "\"'" * 10_000 + "> x", 1), ("values never end", "<a b='" * 20_000 + ">t", 1), ("nested", "<div>" * 100_000 + "x", 1),
+        ("nested and apart", "<div class=ad>" * 50_000 + "x" * 100, 100), ("inline", "<b>" * 50_000 + "<div>y</div>" * 20_000, 59_998), ("unmatched", "<div>" * 50_000 + "</p></i>" * 50_000, 0), ("no end", "<a " * 50_000, 149_999),
+    ],
+)
+def test_broken_pages_take_linear_time(name, html, size):
+    began = time.process_time()
+    page = pages.Page(html)
+    assert len(page.text(*page.chosen(None, frozenset()))) == size
+    assert time.process_time() - began < 20
+
+
+def tree(r, depth=0):
+    """(tag, class, children), children being trees or words."""
+    tag = r.choice(("div", "section", "div", "p")) if depth else "body"
+    inner = [] if tag == "p" else [tree(r, depth + 1) for _ in range(r.randrange(0, 4))] if depth < 4 else []
+    words = " ".join(r.choice(("stone", "river", "lamp")) for _ in range(r.randrange(0, 30)))
+    return tag, r.choice(("", "a1", "b2", "c")), [*inner, words] if r.random() < 0.7 or not inner else inner
+
+
+def written(node):
+    tag, cls, inner = node
+    return f"<{tag}{f' class={cls}' if cls else ''}>" + "".join(x if isinstance(x, str) else written(x) for x in inner) + f"</{tag}>"
+
+
+def listed_nodes(node, path=(), depth=1):
+    """(path, depth, text length, blocks) of the containers, in page order, and of what they hold."""
+    tag, cls, inner = node
+    path = (*path, tag + ("." + re.sub(r"\d+", "#", cls) if cls else ""))
+    size, blocks, below = 0, [], []
+    for x in inner:
+        if isinstance(x, str):
+            size, blocks = size + len(x), blocks + [x] * bool(x)
+        else:
+            own_size, own_blocks, own = listed_nodes(x, path, depth + 1)
+            size, blocks, below = size + own_size, blocks + own_blocks, below + own
+    return size, blocks, ([] if tag == "p" else [(path, depth, size, blocks)]) + below
+
+
+def brute_best(nodes, total):
+    nodes = [((), 0, total, None), *nodes]
+    kept = Counter()
+    for path, _, size, _ in nodes:
+        kept[path] += size
+    best, top = (), -1
+    for path, depth, _, _ in nodes:
+        score = kept[path] * (1 + 0.05 * min(depth, 10))
+        if score > top:
+            best, top = path, score
+    for k in range(len(best) - 1, -1, -1):
+        if kept[best] < 0.9 * kept[best[:k]]:
+            best = best[:k]
+    return best, kept, top
+
+
+def test_votes_and_extraction_equal_brute_force(spark):
+    r = random.Random(3)
+    trees = [(k, f"h{k % 3}.org" if k % 9 else "", tree(r)) for k in range(60)]
+    votes, seen, own = Counter(), Counter(), {}
+    for k, host, t in trees:
+        size, blocks, nodes = listed_nodes(t)
+        best, kept, score = brute_best(nodes, size)
+        own[k] = best, kept, nodes, blocks
+        if host and score > 0:
+            votes[host, best] += 1
+            seen.update((host, p) for p, n in kept.items() if n)
+    want = {}
+    for k, host, _ in trees:
+        best, kept, nodes, blocks = own[k]
+        mine = [(p, v) for (h, p), v in votes.items() if h == host]
+        most = max((v for _, v in mine), default=0)
+        pages_of = sum(v for _, v in mine)
+        aside = {p for p, v in mine if 2 * v < seen[host, p] and 10 * seen[host, p] >= pages_of}
+        choices = [p for p, v in mine if v == most] or [best]  # ties go by the path's hash: any of them
+        texts = set()
+        for path in choices:
+            taken = best if not kept[path] or kept[path] < pages.FAR * kept[best] and best not in aside else path
+            texts.add("\n\n".join(blocks if not taken else [b for p, _, _, own_blocks in nodes if p == taken for b in own_blocks]))
+        want[k] = texts
+    rows = spark.createDataFrame([(k, f"http://{h}/{k}" if h else None, written(t)) for k, h, t in trees], SCHEMA)
+    for row in pages.main_text(rows).collect():
+        assert row.text in want[row.page_id], row.page_id
+
+
+def test_tied_votes_give_one_path_for_a_host(spark):
+    one, other = ("<body><div class={}><p>" + "words of it " * 9 + "</p></div></body>" for _ in range(2))
+    htmls = [one.format("left"), other.format("right")] * 3
+    rows = spark.createDataFrame([(k, "http://t.org/", h) for k, h in enumerate(htmls)], SCHEMA)
+    first = pages.main_text(rows).orderBy("page_id").collect()
+    assert first == pages.main_text(rows.repartition(5)).orderBy("page_id").collect() and {r.text for r in first} == {("words of it " * 9).strip()}
