@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,16 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_PATHS: dict[int, str] = {}
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by spark.checkpoint.dir. Only a session of one machine may leave it unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        app = spark.sparkContext.applicationId
-        root = _OWN.setdefault(app, tempfile.mkdtemp(prefix="inkframe-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _OWN.get(spark.sparkContext.applicationId) or _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="inkframe-"))
     return root.rstrip("/")
 
 
@@ -30,7 +33,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/inkframe-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(found)] = path
+    weakref.finalize(found, _PATHS.pop, id(found), None)
+    return found
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more: all that was made of them has been written."""
+    for df in stashed:
+        if (path := _PATHS.pop(id(df), None)) is not None:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -53,7 +67,7 @@ def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     if array.null_count:
-        array = array.fill_null("")
+        array = array.fill_null(b"" if pa.types.is_binary(array.type) else "")
     width = np.int64 if pa.types.is_large_string(array.type) else np.int32
     offsets = np.frombuffer(array.buffers()[1], dtype=width)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     data = array.buffers()[2]

@@ -4,20 +4,26 @@ Plan, exact at every size (up to 64-bit hash collisions):
 
 1. One pass over the texts makes each document's set of distinct word shingles, its size, a token
    bitmap and a 64-bit class id (documents with equal sets are one class, so copies never meet each
-   other), and a fixed-size sketch of shingle counts over all documents (2^18 buckets).
+   other), and a sketch of shingle counts over all documents, whose buckets grow with the input
+   (2^18 up to 256 scan partitions, at most 2^24).
 2. Prefix filter: under any one global order of the shingles, two sets of size n and m with a
    Jaccard of t or more share a shingle among the first n - ceil(t n) + 1 of the one and
-   m - ceil(t m) + 1 of the other. The order puts shingles of rare sketch buckets first, so a line
-   that a third of all documents hold isn't in the prefix of documents that hold more than it.
+   m - ceil(t m) + 1 of the other. The order puts shingles of rare sketch buckets first (buckets are
+   ranked by their counts, none is cut), so a line that a third of all documents hold isn't in the
+   prefix of documents that hold more than it.
    Postings are dealt by shingle and streamed; sets that share one are a group, broken where sizes
    are too far apart. A signature tree over each group's bitmaps is traversed against itself, and
    pairs that its bounds can't rule out become candidate edges, at most a spanning forest for each
-   task. Groups over ``LARGE`` sets are linked to their first set without bitmaps, as they stream by.
+   task. Groups over ``LARGE`` sets aren't held: as they stream by, each set becomes a candidate edge
+   with the first, so the tree is traversed later, in the chunks of their block.
    Components of the candidate edges are blocks: no link leaves one.
 3. Inside a block a signature tree is traversed against itself, and what it can't prune is compared
    exactly. A block over ``BLOCK`` shingles is dealt in chunks: chunks on their own, then one hub set
    against all chunks, then only the sets outside the hub's component against every chunk.
 
+Joins on classes, blocks and components deal hot keys over several tasks. Intermediate tables are
+deleted once all that was made of them is written.
+
 Nulls, empty texts and texts without words have an empty set and are linked with nothing.
 Repeated rows are copies. Extra columns are ignored. An empty table gives an empty result.
 """
@@ -25,6 +31,7 @@ Repeated rows are copies. Extra columns are ignored. An empty table gives an emp
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, raw, runs, slices, small_batches, stash
-from .components import components
+from .common import arrow_rows, drop, raw, runs, slices, small_batches, stash
+from .components import components, join_spread
 from .shingles import WIDTH, shingle_sets
 from .sigtree import Groups, Tree, bitmap, buckets_for, linked, set_tree, traverse
 
-BUCKETS = 1 << 18
 SLICE = 1 << 14
 BLOCK = 2_000_000
 LARGE = 4096
@@ -54,6 +60,11 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
+def sketch_bits(partitions: int) -> int:
+    """The binary logarithm of the sketch's buckets."""
+    return min(24, 18 + max(0, partitions.bit_length() - 9) // 2)
+
+
 def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -85,18 +96,18 @@ def _map_table(maps: list[bytes]) -> np.ndarray:
     return np.stack([np.where(c == 255, 1 << 20, c).astype(np.uint32).reshape(-1, buckets).sum(axis=0, dtype=np.uint32) for c in counts])
 
 
-def _first_pass(width: int):
+def _first_pass(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.int64)
+        seen = np.zeros(1 << bits, np.int64)
         for batch, tokens, at in _sets(batches, width):
-            seen += np.bincount((tokens >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
+            np.add.at(seen, (tokens >> np.uint64(64 - bits)).astype(np.int64), 1)
             n = np.diff(at)
             sids = [set_id(tokens[at[i] : at[i + 1]]) if n[i] else 0 for i in range(len(n))]
             rows = len(n)
             yield arrow_rows(_PASS, kind=[0] * rows, doc_id=batch.column("doc_id").cast(pa.int64()), n=n, sid=sids, counts=_maps(tokens, at))
-        parts = [k for k in range(BUCKETS // SLICE) if seen[k * SLICE : (k + 1) * SLICE].any()]
+        parts = [k for k in range(len(seen) // SLICE) if seen[k * SLICE : (k + 1) * SLICE].any()]
         none = [None] * len(parts)
-        yield arrow_rows(_PASS, kind=[1] * len(parts), doc_id=none, n=parts, sid=none, counts=[seen[k * SLICE : (k + 1) * SLICE].astype("<u4").tobytes() for k in parts])
+        yield arrow_rows(_PASS, kind=[1] * len(parts), doc_id=none, n=parts, sid=none, counts=[zlib.compress(seen[k * SLICE : (k + 1) * SLICE].astype("<u4").tobytes(), 1) for k in parts])
 
     return run
 
@@ -107,16 +118,17 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for run in runs(batches, "n"):
         total = np.zeros(SLICE, np.int64)
         for x in run.column("counts").to_pylist():
-            total += np.frombuffer(x, "<u4")
-        yield arrow_rows(schema, n=[run.column("n")[0].as_py()], counts=[np.minimum(total, 2**32 - 1).astype("<u4").tobytes()])
+            total += np.frombuffer(zlib.decompress(x), "<u4")
+        yield arrow_rows(schema, n=[run.column("n")[0].as_py()], counts=[total.astype("<i8").tobytes()])
 
 
 def _postings(rank, percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = rank.value
+        places = rank.value
+        shift = np.uint64(65 - len(places).bit_length())
         done: set[int] = set()
         for _, tokens, at in _sets(batches, width):
-            keys = (counts[(tokens >> np.uint64(46)).astype(np.int64)] << np.uint64(40)) | (tokens & np.uint64((1 << 40) - 1))
+            keys = (places[(tokens >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (tokens & np.uint64((1 << 40) - 1))
             out, ns, sids = [], [], []
             for i in range(len(at) - 1):
                 n = int(at[i + 1] - at[i])
@@ -290,14 +302,17 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = WIDTH, b
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stash(docs.mapInArrow(_first_pass(width), _ddl(_PASS)), "sets")
+    bits = sketch_bits(docs.rdd.getNumPartitions())
+    first = stash(docs.mapInArrow(_first_pass(width, bits), _ddl(_PASS)), "sets")
     sets = first.filter("kind = 0").select("doc_id", "n", "sid")
     maps = first.filter("kind = 0 AND n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
     sums = first.filter("kind = 1").select("n", "counts").repartition("n").sortWithinPartitions("n").mapInArrow(_sum_slices, "n bigint, counts binary")
-    counts = np.zeros(BUCKETS, np.uint64)
-    for row in sums.toLocalIterator():  # 2^18 numbers, however large the input
-        counts[row["n"] * SLICE : (row["n"] + 1) * SLICE] = np.frombuffer(row["counts"], "<u4")
-    rank = spark.sparkContext.broadcast(np.minimum(counts, (1 << 23) - 1))
+    counts = np.zeros(1 << bits, np.int64)
+    for row in sums.toLocalIterator():  # at most 2^24 numbers, however large the input
+        counts[row["n"] * SLICE : (row["n"] + 1) * SLICE] = np.frombuffer(row["counts"], "<i8")
+    places = np.empty(len(counts), np.uint32)
+    places[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint32)
+    rank = spark.sparkContext.broadcast(places)
 
     posted = docs.mapInArrow(_postings(rank, percent, width), _ddl(_POST))
     grouped = posted.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(_groups(percent, large), _ddl(_GROUP))
@@ -306,10 +321,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = WIDTH, b
     blocks = components(near).withColumnRenamed("node", "sid").withColumnRenamed("label", "block")
 
     classes = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"))
-    members = stash(blocks.join(classes, "sid"), "members")
-    loads = members.groupBy("block").agg(F.sum("n").alias("load"), F.count("*").alias("size")).filter("size > 1")
+    found_members = stash(blocks.join(classes, "sid"), "members")
+    loads = found_members.groupBy("block").agg(F.sum("n").alias("load"), F.count("*").alias("size")).filter("size > 1")
     loads = loads.select("block", F.ceil(F.greatest(F.col("load") / block, F.col("size") * 500 / block)).cast("int").alias("chunks"))
-    members = members.join(loads, "block").withColumn("chunk", F.pmod(F.xxhash64("sid"), "chunks").cast("int"))
+    members = join_spread(found_members, loads, "block").withColumn("chunk", F.pmod(F.xxhash64("sid"), "chunks").cast("int"))
     fetched = docs.join(members.hint("merge"), docs["doc_id"] == members["low"]).select("sid", "block", "chunks", "chunk", "text")
     members = members.select("sid", "block", "chunks", "chunk")
 
@@ -324,11 +339,13 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = WIDTH, b
     else:
         labels = found.select(F.col("u").alias("sid"), F.col("v").alias("label"))
     labels = stash(labels.join(classes.select("sid", "low"), "sid"), "linked")
+    drop(found_members)
     lows = labels.groupBy("label").agg(F.min("low").alias("component"))
-    labels = labels.join(lows, "label").select("sid", "component")
-    copies = classes.join(labels, "sid", "left").select("sid", F.coalesce("component", "low").alias("component"))
+    linked_to = stash(join_spread(labels, lows, "label").select("sid", "component"), "components")
+    drop(labels)
+    copies = classes.join(linked_to, "sid", "left").select("sid", F.coalesce("component", "low").alias("component"))
     empty = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    full = sets.filter("n > 0").join(copies, "sid").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    full = join_spread(sets.filter("n > 0"), copies, "sid").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return full.unionByName(empty)
 
 
@@ -345,13 +362,13 @@ def _across_chunks(docs: DataFrame, members: DataFrame, classes: DataFrame, foun
     key = F.xxhash64("block", "chunk").alias("task")
     by_hub = stash(link(parts.unionByName(to_chunks).select(key, "role", "sid", "text")), "hubs").select("u", "v")
     joined = by_hub.join(large.select(F.col("sid").alias("u"), "root"), "u").select("root").union(hubs.select(F.col("hub").alias("root"))).distinct()
-    outside = stash(texts.join(joined, "root", "left_anti"), "outside")
+    outside = stash(join_spread(texts, joined.withColumn("hit", F.lit(True)), "root", "left").filter("hit IS NULL").select(texts.columns), "outside")
     groups = outside.groupBy("block").agg(F.sum(F.length("text")).alias("b"), F.count("*").alias("c"))
     groups = groups.select("block", F.ceil(F.greatest(F.col("b") / 8_000_000, F.col("c") / 4000)).cast("int").alias("sides"))
-    outside = outside.join(groups, "block")
+    outside = join_spread(outside, groups, "block")
     right = outside.withColumn("side", F.pmod(F.xxhash64("sid", F.lit(1)), "sides").cast("int"))
     right = right.select("block", "side", "sid", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(3).alias("role"))
-    left = texts.join(groups, "block").select("block", "chunk", "sid", "text", F.lit(2).alias("role"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"))
+    left = join_spread(texts, groups, "block").select("block", "chunk", "sid", "text", F.lit(2).alias("role"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"))
     tasks = left.unionByName(right).select(F.xxhash64("block", "chunk", "side").alias("task"), "role", "sid", "text")
     across = link(tasks).select("u", "v")
     edges = own.select(F.col("sid").alias("u"), F.col("root").alias("v")).union(by_hub).union(across)

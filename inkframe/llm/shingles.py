@@ -6,7 +6,7 @@ import numpy as np
 
 from .common import mix64
 
-WIDTH = 5
+WIDTH, PART = 5, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -36,12 +36,31 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and the row that each is in. A-Z count as a-z; words are parted by space and 0x09-0x0D."""
-    n = len(data)
-    if not n:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and the row that each is in. A-Z count as a-z; words are parted by the bytes
+    that are a ``gap``: space and 0x09-0x0D.
+
+    More than ``PART`` bytes are read in parts cut at white space or between rows, so that beside the words
+    only a part's tables are held.
+    """
+    found, at = [], 0
+    while at < len(data):
+        to = min(at + PART, len(data))
+        while to < len(data) and not gap[data[to]]:  # a word, or with the next rows', some more bytes
+            to += 1
+        inner = offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, to, "left")]
+        rows = np.concatenate(([at], inner, [to]))
+        hashes, of = _words(data[at:to], rows - at, gap)
+        found.append((hashes, np.searchsorted(offsets, rows[:-1], "right")[of] - 1))
+        at = to
+    if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data)
+    solid = ~gap[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     starts = np.flatnonzero(solid & (first[:n] | np.concatenate(([True], ~solid[:-1]))))

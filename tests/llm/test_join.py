@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from inkframe.llm.components import components
-from inkframe.llm.ngram_join import jaccard_components, keep_one
+from inkframe.llm import shingles as shingles_of
+from inkframe.llm.common import drop, stash
+from inkframe.llm.components import components, join_spread
+from inkframe.llm.ngram_join import jaccard_components, keep_one, sketch_bits
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEMA = "doc_id long, text string"
@@ -85,3 +88,34 @@ def test_components_of_a_path_and_a_star(spark):
     found = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert {found[k] for k in range(100, 141)} == {100} and {found[k] for k in range(50, 60)} == {7}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_hot_keys_are_dealt_and_stashes_deleted(spark, tmp_path):
+    rows = stash(spark.createDataFrame([(k, 1 if k < 400 else k) for k in range(500)], "n long, k long"), "rows")
+    one = spark.createDataFrame([(1, "hot"), (450, "x"), (9999, "none")], "k long, v string")
+    for how, size in (("inner", 401), ("left", 500)):
+        found = join_spread(rows, one, "k", how, hot=50)
+        assert sorted(found.columns) == ["k", "n", "v"] and found.count() == size and found.filter("v = 'hot'").count() == 400
+    assert join_spread(rows, one, "k", hot=1000).count() == 401
+    drop(rows)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FILE_NOT_EXIST"):
+        rows.count()
+    edges = [(1, k) for k in range(2, 200)] + [(500 + k, 501 + k) for k in range(60)]
+    found = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long"), hot=10).collect()))
+    assert {found[k] for k in range(1, 200)} == {1} and {found[k] for k in range(500, 561)} == {500}
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    r = random.Random(4)
+    texts = ["", "Ab c", " ".join(r.choice(["x", "yy", "ÉÉ", "zz\tq"]) for _ in range(3000)), "", "w" * 5000, "one two three four five six"]
+    data = [t.encode() for t in texts]
+    buffer, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    whole = shingles_of.shingle_sets(buffer, offsets)
+    monkeypatch.setattr(shingles_of, "PART", 700)
+    parts = shingles_of.shingle_sets(buffer, offsets)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert np.diff(parts[1]).tolist() == [len(shingles(t)) for t in texts]
+
+
+def test_sketch_grows_with_the_input():
+    assert [sketch_bits(n) for n in (1, 32, 256, 1000, 100_000, 10**6, 10**9)] == [18, 18, 18, 18, 22, 23, 24]
