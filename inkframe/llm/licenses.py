@@ -5,7 +5,9 @@ A template is a text with two kinds of markup: ``<<opt>> ... <<end>>`` may be le
 must match exactly, one after another. Texts are tokenised as bytes: A-Z count as a-z, words are
 runs of 0-9, a-z and bytes from 0x80.
 
-Null and empty texts have no words, no places and no labels.
+Null and empty texts have no words, no places and no labels. Equal texts get equal rows; repeated rows and
+rows without doc_id are scanned each, extra columns are ignored, an empty table gives no rows. Where several
+templates match, all their labels are given. Long texts are read whole, in parts cut between words.
 """
 
 from __future__ import annotations
@@ -18,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_rows, raw, slices, small_batches
-from .shingles import _BYTE, _power_tables
-from .common import mix64
+from .shingles import word_hashes
 
 # The phrases whose places are always reported, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -32,27 +33,62 @@ TEMPLATES = {
     "bsd-line": "licensed|released under the <<any 0..2>> bsd license|licence",
     "cc": "licensed|released under <<opt>>a|the<<end>> creative commons <<any 1..6>> license|licence",
     "cc-by-line": "cc by <<opt>>sa|nc|nd<<end>> <<any 1..2>>",
+    "mit-full": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<any 1..4>> to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+        "or the use or other dealings in the software"
+    ),
+    "isc": (
+        "permission to use copy modify and|or <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <<any 1..4>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall <<any 1..4>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ),
+    "bsd-2-clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<opt>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "<<any 0..45>> this software is provided by <<any 1..8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall <<any 1..8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+        "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software "
+        "even if advised of the possibility of such damage"
+    ),
+    "bsd-3-clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<opt>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "<<opt>>3<<end>> neither the name|names of <<any 1..12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "<<opt>>1<<end>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment|acknowledgement in the product documentation would be appreciated but is not required "
+        "<<opt>>2<<end>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+        "<<opt>>3<<end>> this notice may not be removed or altered from any source distribution"
+    ),
+    "apache-2.0-notice": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http|https www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license"
+    ),
+    "gpl-notice": (
+        "<<any 1..4>> is free software you can redistribute it and or modify it under the terms of the gnu <<opt>>lesser|affero<<end>> general public license as published by the free software foundation "
+        "either version 2|3 <<opt>>1<<end>> of the license or at your option any later version <<any 1..4>> is distributed in the hope that it will be useful but without any warranty "
+        "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<opt>>lesser|affero<<end>> general public license for more details"
+    ),
     "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
     "copyright": "copyright <<opt>>c<<end>> <<any 1..6>> all rights reserved",
 }
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_GAP = np.ones(256, bool)
+_GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and the row it is in."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    solid = _WORD[data]
-    first = np.zeros(n + 1, bool)
-    first[offsets] = True
-    starts = np.flatnonzero(solid & (first[:n] | np.concatenate(([True], ~solid[:-1]))))
-    ends = np.flatnonzero(solid & (first[1:] | np.concatenate((~solid[1:], [True])))) + 1
-    power, inverse = _power_tables(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(offsets, starts, "right") - 1
+    return word_hashes(data, offsets, _GAP)
 
 
 def word_hash(word: str) -> int:
@@ -93,7 +129,8 @@ class Automaton:
                 if not opened:
                     mandatory.append(at)
         self.end = len(self.reads)
-        self.anchor = max(mandatory, key=lambda s: (min(map(len, names[s].split("|"))), -s))
+        fixed = [s for s in mandatory if all(r is not None for r in self.reads[:s])] or mandatory  # before any region of unknown wording
+        self.anchor = max(fixed, key=lambda s: (min(map(len, names[s].split("|"))), -s))
         self.mandatory = frozenset(mandatory)
         self.before = self._distances()
 
