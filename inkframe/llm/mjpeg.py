@@ -1,9 +1,13 @@
 """AVI with lossless intra-coded JPEG frames: bytes as 8-bit samples, and back; shots of the frames.
 
-A frame is 64 samples wide and up to 64 high, coded as lossless JPEG (SOF3, predictor 1). Its Huffman
+A frame is 64 samples wide and up to 16 high, coded as lossless JPEG (SOF3, predictor 1). Its Huffman
 table gives the difference category s a code of 9 - s bits; the category's s further bits make nine
 bits for every sample, so frames are packed and unpacked as whole arrays. The file is RIFF/AVI with
 hdrl, movi and idx1; the payload's length is in the stream's strd chunk, frames beyond it are zero.
+
+Null and empty texts are one block of zeros. Equal texts have equal files; repeated rows are stored each,
+extra columns ignored; an empty table gives no rows. Files of others are read as well (`jpeg.decode`):
+any Huffman table, DCT frames, no index. A file that can't be read is a row with its error.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, slices, small_batches
+from . import jpeg
+from .common import arrow_rows, ddl, slices, small_batches
 
-WIDTH, HEIGHT, FPS, BINS = 64, 64, 25, 16
+WIDTH, HEIGHT, FPS, BINS = 64, 16, 25, 16
 
 
 def _codes() -> tuple[np.ndarray, np.ndarray]:
@@ -63,28 +68,21 @@ def encode_frames(frames: np.ndarray) -> list[bytes]:
     return [head + out[a:b].tobytes() + b"\xff\xd9" for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _scan_of(jpeg: bytes) -> tuple[int, int, bytes]:
-    """Height, width and entropy-coded bytes of a frame that `encode_frames` can have written."""
-    at, shape = 2, (0, 0)
-    if jpeg[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG frame")
-    while True:
-        marker, size = jpeg[at + 1], int.from_bytes(jpeg[at + 2 : at + 4], "big")
-        body = jpeg[at + 4 : at + 2 + size]
-        if marker == 0xC3:
-            shape = struct.unpack(">HH", body[1:5])
-        elif marker == 0xC4 and body != _DHT:
-            raise ValueError("another Huffman table")
-        elif marker == 0xDA:
-            if body[3] != 1:
-                raise ValueError("another predictor")
-            return *shape, jpeg[at + 2 + size : -2]
-        at += 2 + size
+def _scan_of(jpeg: bytes) -> tuple[int, int, bytes] | None:
+    """Height, width and entropy-coded bytes of a frame with the head that `encode_frames` writes; None of others."""
+    height, width = struct.unpack(">HH", jpeg[7:11]) if len(jpeg) > 11 else (0, 0)
+    head = _head(height)
+    return (height, width, jpeg[len(head) : -2]) if jpeg.startswith(head) else None
 
 
 def decode_frames(jpegs: list[bytes]) -> np.ndarray:
-    """The samples of frames of one size, (n, height, width)."""
+    """The samples of frames of one size, (n, height, width). Frames of our own are unpacked all at once."""
     scans = [_scan_of(j) for j in jpegs]
+    if None in scans or len({s[:2] for s in scans}) != 1:
+        frames = [jpeg.decode(j) for j in jpegs]
+        if len({f.shape for f in frames}) != 1:
+            raise ValueError("frames of several sizes" if frames else "no frames")
+        return np.stack(frames)
     height, width = scans[0][:2]
     data = np.frombuffer(b"".join(s[2].replace(b"\xff\x00", b"\xff") for s in scans), np.uint8)
     bits = np.unpackbits(data).reshape(-1, 9)
@@ -130,24 +128,37 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + (size & 1)
 
 
-def read_avi(media: bytes) -> tuple[np.ndarray, bytes]:
-    """The frames that the index lists, and the payload."""
+def open_avi(media: bytes) -> tuple[np.ndarray, int | None, float]:
+    """The frames that the index lists (or, without one, that are there), the length of our payload and the frames a second."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    length, movi, index = None, 0, b""
-    todo = list(_chunks(media, 12, len(media)))
+    length, movi, index, fps, found = None, 0, b"", 0.0, []
+    todo = list(_chunks(media, 12, len(media)))[::-1]
     while todo:
         name, a, b = todo.pop()
-        if name == b"LIST" and media[a : a + 4] in (b"hdrl", b"strl"):
-            todo += _chunks(media, a + 4, b)
-        elif name == b"LIST" and media[a : a + 4] == b"movi":
-            movi = a
+        kind = media[a : a + 4]
+        if name == b"LIST":
+            movi = a if kind == b"movi" else movi
+            todo += list(_chunks(media, a + 4, b))[::-1] if kind in (b"hdrl", b"strl", b"rec ") or kind == b"movi" else []
         elif name == b"strd":
             length = int.from_bytes(media[a : a + 8], "little")
+        elif name == b"strh" and kind == b"vids":
+            scale, rate = struct.unpack_from("<II", media, a + 20)
+            fps = rate / scale if scale else 0.0
         elif name == b"idx1":
             index = media[a:b]
-    places = [struct.unpack_from("<4sIII", index, k) for k in range(0, len(index), 16)]
-    frames = decode_frames([media[movi + at + 8 : movi + at + 8 + size] for name, _, at, size in places if name == b"00dc"])
+        elif name[2:] in (b"dc", b"db") and movi and b <= len(media):
+            found.append((a - 8, b - a))
+    places = [struct.unpack_from("<4sIII", index, k) for k in range(0, len(index) - 15, 16)]
+    places = [(at, size) for name, _, at, size in places if name[2:] in (b"dc", b"db")]
+    base = movi if not places or not found or movi + places[0][0] == found[0][0] else 0  # some writers count from the file's start
+    frames = [(base + at, size) for at, size in places] or found
+    return decode_frames([media[at + 8 : at + 8 + size] for at, size in frames if size]), length, fps or float(FPS)
+
+
+def read_avi(media: bytes) -> tuple[np.ndarray, bytes]:
+    """The frames of a file of our own, and its payload."""
+    frames, length, _ = open_avi(media)
     return frames, frames.tobytes()[:length]
 
 
@@ -169,10 +180,10 @@ def shot_cuts(frames: np.ndarray, reach: int = 8, factor: float = 2.0, least: fl
     return (np.flatnonzero(far > np.maximum(mean + factor * spread, least)) + 1).tolist()
 
 
-def clips(frames: np.ndarray) -> list[tuple[int, float, float]]:
+def clips(frames: np.ndarray, fps: float = FPS) -> list[tuple[int, float, float]]:
     """(first frame, start, end) of each shot, in seconds."""
     cuts = [0, *shot_cuts(frames), len(frames)]
-    return [(a, a / FPS, b / FPS) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(a, a / fps, b / fps) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -181,7 +192,7 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_clips", pa.int64())])
-_CLIP = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+_CLIP = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("error", pa.string())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +215,34 @@ def media_digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_digests, ddl)
 
 
+def _clip_rows(doc_id: int | None, media: bytes) -> list[tuple]:
+    try:
+        frames, _, fps = open_avi(media)
+    except (ValueError, IndexError, KeyError, struct.error) as wrong:  # a broken file is data
+        return [(doc_id, None, None, None, None, f"{type(wrong).__name__}: {wrong}")]
+    return [(doc_id, k, *shot, None) for k, shot in enumerate(clips(frames, fps))]
+
+
 def media_clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows of AVI files (doc_id, media binary); a null file has none."""
+    """Timed clip rows of AVI files (doc_id, media binary); a null file has none, an unreadable one a row with its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, k, *shot) for d, m in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True) if m is not None for k, shot in enumerate(clips(read_avi(m)[0]))]
+        for batch in slices(batches, "media"):
+            rows = [r for d, m in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True) if m is not None for r in _clip_rows(d, m)]
             if rows:
                 yield arrow_rows(_CLIP, **dict(zip(_CLIP.names, zip(*rows, strict=True), strict=True)))
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id bigint, clip int, first_frame int, start_s double, end_s double")
+    small_batches(media.sparkSession)
+    return media.select("doc_id", "media").mapInArrow(run, ddl(_CLIP))
+
+
+def as_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, media): each text as an AVI file."""
+    schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield arrow_rows(schema, doc_id=batch.column("doc_id").cast(pa.int64()), media=[write_avi(payload_of(t)[1]) for t in batch.column("text").to_pylist()])
+
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, ddl(schema))

@@ -11,7 +11,7 @@ from .fingerprint import edited_fingerprints
 from .langid import identify
 from .licenses import license_scan
 from .mixing import mix
-from .mjpeg import media_digests
+from .mjpeg import as_media, media_clips, media_digests
 from .ngram_join import jaccard_components
 from .packing import pack
 from .pages import main_text
@@ -35,6 +35,11 @@ def op4_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read_table(spark, sf_dir, "documents"))
 
 
+def avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clips of every document's AVI file."""
+    return media_clips(as_media(read_table(spark, sf_dir, "documents")))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents the mix gives, how often and where; no source is repeated more than four times."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -62,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_fingerprints, op3_license_scan, op4_avi_mjpeg, op5_source_mix, op6_language_id, op7_secret_scan, op8_main_text, op9_url_filter, op10_packing)
+    f.__name__: f for f in (op1_ngram_join, op2_fingerprints, op3_license_scan, op4_avi_mjpeg, op5_source_mix, op6_language_id, op7_secret_scan, op8_main_text, op9_url_filter, op10_packing, avi_clips)
 }
 
 _RULES = ", ".join(f"('{k}', '{v}')" for k, v in RULES)
