@@ -4,11 +4,15 @@ Candidates of the method are runs of 16 or more key characters after something s
 the 48 characters before them (or before a `=` in them), or an adjoining candidate or assignment that
 has such a word (lines of a PEM block, parts of a JWT). A candidate's novelty is the number of bytes
 that it adds to the compressed neighbourhood, over its length, by a compressor primed with a dictionary
-of code identifiers. It is held against the entropy of random text in the candidate's own alphabet;
+of code identifiers: usual ones, and the ``NAMES`` most frequent names before `=`, `(` or `[` in all texts
+of the table (letters and underscores, at most 32 of them; the number bounds the dictionary's size, of
+which a compressor can use little more). It is held against the entropy of random text in the candidate's own alphabet;
 what the neighbourhood and the dictionary don't explain is reported as `novel`. Parts joined by dots
 are one token: they are reported together. The short last line of a PEM block goes with the line before.
 
-Null and empty texts have no spans. Spans are code points, the end exclusive.
+Null and empty texts have no spans. Spans are code points, the end exclusive. Equal texts of one table have
+equal spans; names of equal frequency go by the alphabet. Repeated rows are scanned each, extra columns are
+ignored (kept by `without_secrets`), an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_rows, slices, small_batches
 
@@ -34,7 +39,7 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _ADJOINS = re.compile(r"[\s.,\"'+\\#*>|]{1,32}")
 _LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LAST = re.compile(r"\s{1,32}([A-Za-z0-9+/]{1,15}={0,2})(?=\s{1,32}-----END)")
-AROUND, NOVELTY = 96, 0.9
+AROUND, NOVELTY, NAMES = 96, 0.9, 2000
 IDENTIFIERS = (
     "abstract access account address algorithm append application argument array assert async attribute author await backend base64 batch bearer "
     "boolean buffer cache callback catch certificate class client cluster column commit config connection const constructor content context continue "
@@ -154,6 +159,14 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty)
     return sorted(found + [(m.start(1), 3, m.end(1)) for m in _LAST.finditer(text) if m.start() in ends])
 
 
+def dictionary_of(docs: DataFrame) -> str:
+    """The usual identifiers and the most frequent names of all texts, these last, where matches are cheapest."""
+    names = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Za-z0-9_])([A-Za-z_]{4,32})(?=\x20?[=(\[])"), F.lit(1))
+    counts = docs.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = counts.orderBy(F.desc("n"), "name").limit(NAMES).collect()
+    return " ".join([IDENTIFIERS, *[r["name"] for r in reversed(rows)]])
+
+
 def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -171,31 +184,35 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]")
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_novel", pa.int64())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    novelty = Novelty()
-    for batch in slices(batches):
-        rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            base = base_spans(text or "")
-            novel = novel_spans(text or "", base, novelty)
-            counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
-            rows.append((doc_id, *counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(sorted(base + novel)), len(novel)))
-        yield arrow_rows(_OUT, **dict(zip(_OUT.names, zip(*rows, strict=True), strict=True)))
+def _scan(dictionary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty(dictionary)
+        for batch in slices(batches):
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                base = base_spans(text or "")
+                novel = novel_spans(text or "", base, novelty)
+                counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
+                rows.append((doc_id, *counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(sorted(base + novel)), len(novel)))
+            yield arrow_rows(_OUT, **dict(zip(_OUT.names, zip(*rows, strict=True), strict=True)))
+
+    return run
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
     """A row for each document: counts of the fixed kinds, the digest of their spans, and all spans."""
     small_batches(docs.sparkSession)
     ddl = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint"
-    return docs.select("doc_id", "text").mapInArrow(_scan, ddl)
+    return docs.select("doc_id", "text").mapInArrow(_scan(dictionary_of(docs)), ddl)
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """All rows of ``docs``, secrets in text replaced by a mark and n_chars (where there is one) counted anew."""
     small_batches(docs.sparkSession)
+    dictionary = dictionary_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(dictionary)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             sizes = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else None
