@@ -1,13 +1,15 @@
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
 import pytest
 from oracle import SF
+from pyspark.sql import functions as F
 
 from inkframe.llm import fingerprint as fp
-from inkframe.llm import langid, licenses, mjpeg, secrets
+from inkframe.llm import common, jpeg, langid, licenses, mjpeg, secrets
 
 SCHEMA = "doc_id long, text string"
 ODD = [(1, "one two\nthree"), (2, None), (3, ""), (4, "é" * 4000), (4, "é" * 4000), (5, "three\none two"), (6, "x"), (None, "no id"), (7, "word " * 30000)]
@@ -104,7 +106,7 @@ def test_avi_is_lossless_and_indexed(spark):
 
 
 def test_shots(spark):
-    frames = np.concatenate([np.full((12, 64, 64), v, np.uint8) for v in (10, 200, 90)])
+    frames = np.concatenate([np.full((12, mjpeg.HEIGHT, 64), v, np.uint8) for v in (10, 200, 90)])
     frames += np.random.default_rng(1).integers(0, 3, frames.shape, np.uint8)
     assert mjpeg.shot_cuts(frames) == [12, 24] and mjpeg.shot_cuts(frames[:1]) == []
     media = mjpeg.write_avi(frames.tobytes())
@@ -206,3 +208,172 @@ def test_documents_stay_where_no_language_was_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in langid.known_language(docs).collect()) == [1, 2]
     assert {r.lang_pred for r in langid.identify(docs).collect()} == {"und"}
+
+
+def places_of(text):
+    """The hashed places of a text's n-grams, one by one."""
+    points, found = [ord(c) for c in text.lower()], set()
+    for n in (1, 2, 3):
+        for k in range(len(points) - n + 1):
+            gram = 0
+            for m, p in enumerate(points[k : k + n], 1):
+                gram = (gram * 0x9E3779B1 + p * 0x85EBCA6B + m) % 2**32
+            found.add(((gram ^ gram >> 15) * 0x2C1B3C6D % 2**32) >> 19)
+    return found
+
+
+def test_language_id_equals_plain_kernel_ridge():
+    texts = [("a", "the cat and the dog"), ("a", "and then the man"), ("b", "der hund und die katze"), ("b", "und dann der mann"), ("c", "日本語の文"), ("b", "die katze")]
+    sets = [places_of(t) for _, t in texts]
+    bits = langid.presence([t for _, t in texts])
+    assert [set(np.flatnonzero(row).tolist()) for row in bits] == sets
+    kernel = lambda x, y: len(x & y) / math.sqrt(len(x) * len(y))
+    langs = [lang for lang, _ in texts]
+    names, marks, weights = langid.train(langs, bits)
+    assert names == ["a", "b", "c"]
+    km = np.array([[kernel(x, y) for y in sets] for x in sets])
+    balance = np.diag([1 / langs.count(lang) for lang in langs])
+    target = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
+    alpha = np.linalg.solve(km @ balance @ km + langid.RIDGE * km, km @ balance @ target)
+    for text in ("the dog", "der mann und", "語", "xyz"):
+        own = places_of(text)
+        plain = np.array([kernel(own, x) for x in sets]) @ alpha
+        found = (langid.normed(langid.presence([text])) @ marks) @ weights
+        assert found[0] == pytest.approx(plain, abs=2e-3), text
+
+
+def test_languages_without_a_cap_and_parts_of_long_texts(spark, monkeypatch):
+    rows = [(k, chr(0x4E00 + 40 * (k % 330)) * 3, f"l{k % 330}") for k in range(2000)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len({r.lang_pred for r in found}) == 330
+    text = "The İ and ß, " * 3000
+    whole = langid.presence([text])
+    monkeypatch.setattr(langid, "PART", 1000)
+    assert (langid.presence([text]) == whole).all()
+
+
+def test_unknown_scripts_go_and_missing_languages_are_named(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 9)]
+    rows += [(100, "日本語の文です", None), (101, "and the dog", None), (102, "日本語", "ja?"), (103, "the", "xx")]
+    docs = spark.createDataFrame(rows[:-2] + [rows[-1]], "doc_id long, text string, lang string").filter("doc_id <> 103")
+    kept = {r.doc_id: r.lang for r in langid.known_language(docs).collect()}
+    assert 100 not in kept and kept[101] == "en" and len(kept) == 19
+
+
+def image_io(spark, pixels, kind="jpg"):
+    """Java's own JPEG of a grey (h, w) or BGR (h, w, 3) picture, and Java's decoding of it as grey."""
+    jvm = spark._jvm
+    h, w = pixels.shape[:2]
+    picture = jvm.java.awt.image.BufferedImage(w, h, 10 if pixels.ndim == 2 else 5)
+    for y in range(h):
+        for x in range(w):
+            p = pixels[y, x]
+            b, g, red = (int(p),) * 3 if pixels.ndim == 2 else map(int, p)
+            if pixels.ndim == 2:
+                picture.getRaster().setSample(x, y, 0, b)
+            else:
+                picture.setRGB(x, y, red << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(picture, kind, out)
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    grey = np.array([[back.getRaster().getSample(x, y, 0) for x in range(w)] for y in range(h)]) if pixels.ndim == 2 else None
+    return data, grey
+
+
+def test_other_jpeg_frames(spark):
+    r = np.random.default_rng(2)
+    y, x = np.mgrid[0:37, 0:50]
+    pixels = (y * 3 + x * 2 + r.integers(0, 40, (37, 50))).astype(np.uint8)
+    data, grey = image_io(spark, pixels)
+    found = jpeg.decode(data)
+    assert found.shape == (37, 50) and np.abs(found.astype(int) - grey).max() <= 1
+    assert (jpeg.decode(data[:2] + b"\xff\xfe\x00\x04hi" + data[2:]) == found).all()
+    colour = np.stack([pixels, pixels // 2, 255 - pixels], axis=2)
+    luma, _ = image_io(spark, colour)
+    assert np.abs(jpeg.decode(luma).astype(float) - colour @ np.array((0.114, 0.587, 0.299))).mean() < 6
+    frames = r.integers(0, 256, (2, 16, 64)).astype(np.uint8)
+    own = mjpeg.encode_frames(frames)
+    assert all((jpeg.decode(j) == f).all() for j, f in zip(own, frames, strict=True))
+    for broken in (b"", b"\xff\xd8", data[:200], data[: len(data) // 2] + b"\xff\xd9", b"\xff\xd8\xff\xc2\x00\x0b\x08\x00\x10\x00\x10\x01\x01\x11\x00"):
+        with pytest.raises((ValueError, IndexError)):
+            jpeg.decode(broken)
+
+
+def test_files_of_others_and_broken_ones_are_rows(spark):
+    dark, light = (image_io(spark, np.full((16, 24), v, np.uint8))[0] for v in (20, 220))
+    chunk = lambda name, body: name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    strh = b"vidsMJPG" + bytes(12) + (2).to_bytes(4, "little") + (20).to_bytes(4, "little") + bytes(28)
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", bytes(56)) + chunk(b"LIST", b"strl" + chunk(b"strh", strh)))
+    movi = chunk(b"LIST", b"movi" + chunk(b"01wb", b"sound") + b"".join(chunk(b"00dc", f) for f in [dark] * 12 + [light] * 8))
+    other = chunk(b"RIFF", b"AVI " + head + movi)
+    rows = [(1, bytearray(other)), (2, bytearray(b"RIFF")), (3, None), (4, bytearray(mjpeg.write_avi(bytes(64)))), (5, bytearray(other.replace(dark, bytes(len(dark))))), (4, bytearray(mjpeg.write_avi(bytes(64))))]
+    found = mjpeg.media_clips(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, media binary, clip string")).collect()
+    own = [(r.doc_id, r.first_frame, r.start_s, r.end_s) for r in found if r.error is None]
+    assert own[:2] == [(1, 0, 0.0, 1.2), (1, 12, 1.2, 2.0)] and own.count((4, 0, 0.0, 0.04)) == 2
+    assert {r.doc_id for r in found if r.error is not None} == {2, 5}
+
+
+def test_clip_rows_of_texts_equal_their_features(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    clips = mjpeg.media_clips(mjpeg.as_media(docs)).groupBy("doc_id").count()
+    joined = mjpeg.media_digests(docs).join(clips, "doc_id")
+    assert joined.count() == docs.count() and joined.filter("n_clips <> count").count() == 0 and joined.filter("n_clips > 1").count() > 0
+
+
+MIT = """Copyright (c) 2021 Some One
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def plain_template(template):
+    """A regular expression over words with the same texts."""
+    out = ""
+    for part in re.findall(r"<<opt>>|<<end>>|<<any \d+\.\.\d+>>|[^\s<]+", template):
+        if part.startswith("<<any"):
+            low, high = re.findall(r"\d+", part)
+            out += rf"(?:\S+ ){{{low},{high}}}"
+        else:
+            out += {"<<opt>>": "(?:", "<<end>>": ")?"}.get(part, f"(?:{part}) ")
+    return re.compile(r"(?:^|(?<= ))" + out)
+
+
+def test_whole_licenses_and_templates_by_regular_expressions(spark):
+    texts = [MIT, MIT.replace("without restriction", "with restriction"), MIT.replace("OUT OF ", ""), "x " * 50_000 + MIT, *(re.sub(r"<<opt>>|<<end>>", "", re.sub(r"<<any \d+\.\.(\d+)>>", "some", re.sub(r"(\w+)\|\w+", r"\1", t))) for t in licenses.TEMPLATES.values())]
+    docs = spark.createDataFrame([*enumerate(texts)], SCHEMA).union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    plain = {label: plain_template(t) for label, t in licenses.TEMPLATES.items()}
+    found = licenses.license_scan(docs.withColumn("doc_id", F.monotonically_increasing_id())).collect()
+    sources = {r.doc_id: r.text for r in docs.withColumn("doc_id", F.monotonically_increasing_id()).collect()}
+    for row in found:
+        words = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (sources[row.doc_id] or "").translate({c: c + 32 for c in range(65, 91)}))) + " "
+        want = {label for label, p in plain.items() if p.search(words)} | set(filter(None, row.base_labels.split(",")))
+        assert set(filter(None, row.labels.split(","))) == want, words[:200]
+    assert sum("mit-full" in r.labels for r in found) >= 3
+
+
+def test_names_of_the_corpus_prime_the_dictionary(spark):
+    names = [(k, "quuxFrobnicatorHandle = 1; zorgBlattInterface(2) onceOnly(") for k in range(3)] + [(9, "quuxFrobnicatorHandle (x)"), (10, None)]
+    text = secrets.dictionary_of(spark.createDataFrame(names, SCHEMA).dropDuplicates(["doc_id"]))
+    assert text.startswith(secrets.IDENTIFIERS) and text.endswith(" zorgBlattInterface onceOnly quuxFrobnicatorHandle")
+    assert secrets.dictionary_of(spark.createDataFrame([], SCHEMA)) == secrets.IDENTIFIERS
+    around = "the key is "
+    plain, primed = (secrets.Novelty(d).share(around, "quuxFrobnicatorHandle") for d in (secrets.IDENTIFIERS, text))
+    assert primed < plain / 2
+    assert secrets.secret_scan(spark.createDataFrame([], SCHEMA)).count() == 0 and licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeats_and_clashing_columns(spark):
+    rows = [(1, "token = abcdefgh12 mit", "x", 1), (1, "token = abcdefgh12 mit", "y", 2), (None, "cc by sa 4.0", "z", 3)]
+    for name, scan in (("spans", secrets.secret_scan), ("labels", licenses.license_scan), ("feature", mjpeg.media_digests)):
+        found = scan(spark.createDataFrame(rows, f"doc_id long, text string, {name} string, n_words int")).collect()
+        assert len(found) == 3 and sum(r.doc_id == 1 for r in found) == 2 and len({tuple(r) for r in found}) == 2
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://x:7077", "getConf": staticmethod(lambda: Cluster.conf)})  # noqa: N815
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.scratch_root(Cluster)
