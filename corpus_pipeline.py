@@ -19,7 +19,7 @@ MAX_REPEATS = 1.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: null texts and texts without letters."""
+    """Drops texts that no learned language fits, and names the language of documents without one."""
     return known_language(docs)
 
 
