@@ -148,6 +148,19 @@ def line_spans(ink: np.ndarray, threshold: int = 10) -> tuple[float, float]:
     return (float(mask.mean(axis=1).max()), float(mask.mean(axis=0).max())) if mask.size else (0.0, 0.0)
 
 
+def line_ink(ink: np.ndarray, share: float = 0.6) -> tuple[float, float, int, int, int, float]:
+    """Largest shares of ink in a row and in a column, the first such row and column if over ``share`` (else -1), the ink
+    of all rows and columns over it (at most all), and its share of the ink."""
+    mask = ink > 0
+    if not mask.size:
+        return 0.0, 0.0, -1, -1, 0, 0.0
+    by_row, by_col, total = mask.sum(axis=1), mask.sum(axis=0), int(mask.sum())
+    h, w = mask.shape
+    lined = min(total, int(by_row[by_row > share * w].sum() + by_col[by_col > share * h].sum()))
+    across, down = by_row.max() / w, by_col.max() / h
+    return float(across), float(down), int(by_row.argmax()) if across > share else -1, int(by_col.argmax()) if down > share else -1, lined, lined / max(1, total)
+
+
 def ncc(a: np.ndarray, b: np.ndarray) -> float:
     """Normalised correlation of two images of one size; 0 where one is flat."""
     x, y = a.astype(np.float64).ravel(), b.astype(np.float64).ravel()

@@ -60,6 +60,48 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("folder", F.regexp_extract(F.input_file_name(), r"^(.*)/[^/]*$", 1))
 
 
+def list_profiles(profiles: DataFrame) -> list[str]:
+    """The ids of profiles, sorted: a dimension table."""
+    return sorted(r["profile_id"] for r in profiles.select("profile_id").distinct().collect())
+
+
+def one_profile(profiles: DataFrame, profile_id: str) -> DataFrame:
+    """The document of a profile; of an unknown one the error names those that there are."""
+    found = profiles.filter(F.col("profile_id") == profile_id)
+    if not found.limit(1).count():
+        raise FileNotFoundError(f"profile {profile_id!r} not found; there are {list_profiles(profiles)}")
+    return found
+
+
+def glyph_records(files: DataFrame) -> DataFrame:
+    """(profile_id, stem, width, height, ink_px, ink_density, ok, error) of (profile_id, stem, png): errors become data."""
+
+    def record(data: bytes | None) -> tuple:
+        try:
+            ink = kernels.ink_plane(png.decode(bytes(data)))
+            count = int((ink > 10).sum())
+            return ink.shape[1], ink.shape[0], count, count / max(1, ink.size), True, None
+        except Exception as wrong:  # noqa: BLE001
+            return 0, 0, 0, 0.0, False, f"{type(wrong).__name__}: {wrong}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["width", "height", "ink_px", "ink_density", "ok", "error"]
+        for frame in frames:
+            found = pd.DataFrame([record(p) for p in frame["png"]], columns=names)
+            yield pd.concat([frame[["profile_id", "stem"]].reset_index(drop=True), found], axis=1)
+
+    schema = "profile_id string, stem string, width int, height int, ink_px int, ink_density double, ok boolean, error string"
+    return files.select("profile_id", "stem", "png").mapInPandas(run, schema)
+
+
+def migrated(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profile documents of all profiles' files, each built of its readable glyphs, and (profile_id, ok, errors) of each profile."""
+    records = glyph_records(files).withColumn("char", parse_stem(F.col("stem"), "migrate"))
+    good = records.filter("ok AND char IS NOT NULL").withColumn("file", F.concat("stem", F.lit(".png")))
+    outcome = records.groupBy("profile_id").agg((F.count_if(F.col("ok") & F.col("char").isNotNull()) > 0).alias("ok"), F.count_if(~F.col("ok")).alias("errors"))
+    return build_profiles(good), outcome
+
+
 def profile_glyphs(profiles: DataFrame) -> DataFrame:
     """A row for each variant file of each profile."""
     chars = profiles.select("profile_id", "folder", F.explode("per_character").alias("char", "entry"))
