@@ -23,6 +23,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, slices, small_batches, stash
 
-_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
-#: The rest of a tag: a `>` counts inside quotes only where they begin a value. Nothing is tried twice.
-_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
+#: A `>` inside quotes is of the tag only where they begin a value. Nothing is tried twice.
+_TAG = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>?))")
+_PLAIN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*+)([^>]*+)(>?))")
 _ATTR = re.compile(r"([A-Za-z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _COMMENT_END = re.compile(r"--\s*+>")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -54,6 +55,7 @@ _RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+@lru_cache(1 << 16)
 def _step(path: int, name: str) -> int:
     """The 64-bit name of a path that goes on by an element."""
     return int.from_bytes(hashlib.blake2b(f"{path}/{name}".encode(), digest_size=8).digest(), "little", signed=True)
@@ -88,7 +90,12 @@ def _words(name: str) -> set[str]:
     return {w.lower() for w in _WORD.findall(name)}
 
 
-def _judge(tag: str, rest: str, up: Node) -> tuple[str, int, float]:
+def _judge(tag: str, rest: str) -> tuple[str, int, float]:
+    """`_judged`, remembered for short tags."""
+    return _remembered(tag, rest) if len(rest) < 200 else _judged(tag, rest)
+
+
+def _judged(tag: str, rest: str) -> tuple[str, int, float]:
     """The path step of an element, whether it looks apart from the article (1; 2 where another of its names
     calls it content), and the prior of a container."""
     name, away, named, prior = tag, tag in APART, False, 2.0 if tag == "article" else 1.5 if tag == "main" else 1.0
@@ -110,6 +117,9 @@ def _judge(tag: str, rest: str, up: Node) -> tuple[str, int, float]:
     return name, 2 if named else int(away), prior
 
 
+_remembered = lru_cache(1 << 14)(_judged)
+
+
 class Tags:
     """The tags of a page in turn; ``at`` is where the next search begins.
 
@@ -123,23 +133,26 @@ class Tags:
     def next(self) -> tuple[int, str | None, bool, str] | None:
         """(start, tag, whether it ends an element, the rest of it); comments and declarations have no tag."""
         source = self.source
-        if (m := _OPENS.search(source, self.at)) is None:
+        m = (_TAG if self.bad < 2 else _PLAIN).search(source, self.at)
+        if m is None:
             return None
-        end = m.end()
-        if source.startswith("<!--", m.start()):
+        slash, tag, rest, ended = m.groups()
+        if ended:
+            self.at = m.end()
+            return m.start(), tag.lower(), bool(slash), rest
+        end = m.end() if tag is None else m.end(2)
+        if tag is None and source.startswith("<!--", m.start()):
             closed = _COMMENT_END.search(source, end)
             self.at = closed.end() if closed else len(source)
             return m.start(), None, False, ""
         if end > self.last:
             return None
-        if m[2] is None:
-            self.at = source.find(">", end) + 1
-            return m.start(), None, False, ""
-        until = _REST.match(source, end).end() if self.bad < 2 else len(source)
-        if until == len(source):
-            self.bad, until = self.bad + 1, source.find(">", end)
+        until = source.find(">", end)
         self.at = until + 1
-        return m.start(), m[2].lower(), bool(m[1]), source[end:until]
+        if tag is None:
+            return m.start(), None, False, ""
+        self.bad += 1
+        return m.start(), tag.lower(), bool(slash), source[end:until]
 
     def skip(self, tag: str) -> None:
         """On behind the end of an element of raw text."""
@@ -258,7 +271,7 @@ class Page:
             if not rest and tag != "a":
                 child = Node(tag, tag, here.path, here, 0, 1.0, here.linked)
             else:
-                _, away, prior = _judge(tag, rest, here)
+                _, away, prior = _judge(tag, rest)
                 child = Node(tag, tag, here.path, here, away, prior, here.linked or tag == "a")
             child.block.open.setdefault(tag, []).append(child)
             return child
@@ -268,7 +281,7 @@ class Page:
             here = self._up_to(here, block)
             if not ends or block.tag in ends and tag != "tr":
                 break
-        name, away, prior = _judge(tag, rest, here)
+        name, away, prior = _judge(tag, rest)
         child = Node(tag, name, _step(here.path, name), here, away, prior, here.linked)
         self.opened[tag] += 1
         if tag in HOLDERS:
