@@ -196,6 +196,28 @@ reach AS (SELECT vec_id, i, i AS j FROM c UNION SELECT r.vec_id, r.i, n.j FROM r
 own AS (SELECT vec_id, i, min(j) AS root FROM reach GROUP BY 1, 2),
 parts AS (SELECT vec_id, root, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS n FROM own JOIN c USING (vec_id, i) GROUP BY 1, 2)
 SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY root) - 1 AS component, x0 * 4 AS "left", y0 * 4 AS top, (x1 - x0 + 1) * 4 AS width, (y1 - y0 + 1) * 4 AS height, n * 16 AS area FROM parts""",
+    "weighted_variant": """
+WITH c AS (SELECT conv_id, turn, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS char FROM (SELECT conv_id, turn, string_split(text, '') AS w FROM conversations)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, char ORDER BY turn, pos) - 1 AS n FROM c WHERE regexp_matches(char, '[a-z]')),
+d AS (SELECT DISTINCT conv_id, char, [CAST('0x' || substr(md5('0|' || conv_id || '|' || char || '|' || k), 1, 14) AS BIGINT) / 72057594037927936.0::DOUBLE FOR k IN [0, 1]] AS u FROM n),
+one AS (SELECT conv_id, char, u[2] AS u, CASE WHEN u[1] <= 1.0::DOUBLE / 3 THEN 0 WHEN u[1] <= 2.0::DOUBLE / 3 THEN 1 ELSE 2 END AS a FROM d),
+two AS (SELECT conv_id, char, a, list_filter([0, 1, 2], lambda v: v <> a)[CASE WHEN u <= 0.5 THEN 1 ELSE 2 END] AS b FROM one)
+SELECT n.conv_id, n.char, n.turn, CAST(n.pos AS INTEGER) AS pos, CAST(CASE n.n % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE 3 - a - b END AS BIGINT) AS variant FROM n JOIN two USING (conv_id, char)""",
+    "glyph_stats": f"""
+WITH RECURSIVE {_S}, c AS (SELECT vec_id, i, i // 8 AS y, i % 8 AS x FROM s WHERE v * 1000 >= 11), o AS (SELECT vec_id, i // 8 AS y, i % 8 AS x FROM s WHERE v * 1000 < 11),
+near AS (SELECT a.vec_id, a.i AS i, b.i AS j FROM c a JOIN c b ON b.vec_id = a.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach AS (SELECT vec_id, i, i AS j FROM c UNION SELECT r.vec_id, r.i, n.j FROM reach r JOIN near n ON n.vec_id = r.vec_id AND n.i = r.j),
+parts AS (SELECT vec_id, count(DISTINCT root) AS n FROM (SELECT vec_id, i, min(j) AS root FROM reach GROUP BY 1, 2) GROUP BY 1),
+px AS (SELECT vec_id, y * 4 + k // 4 AS py, x * 4 + k % 4 AS px FROM c CROSS JOIN range(16) t(k)),
+far AS (SELECT p.vec_id, py, px, least(min(pow(greatest(0, y * 4 - py, py - y * 4 - 3), 2) + pow(greatest(0, x * 4 - px, px - x * 4 - 3), 2)), pow(least(py + 1, 32 - py, px + 1, 32 - px), 2)) AS d
+  FROM px p LEFT JOIN o ON o.vec_id = p.vec_id GROUP BY 1, 2, 3),
+stroke AS (SELECT vec_id, 2 * median(sqrt(d)) AS stroke FROM far GROUP BY 1),
+spans AS (SELECT vec_id, max(n) FILTER (axis = 0) / 8 AS h_span, max(n) FILTER (axis = 1) / 8 AS v_span FROM (SELECT vec_id, 0 AS axis, y AS place, count(*) AS n FROM c GROUP BY 1, 3 UNION ALL SELECT vec_id, 1, x, count(*) FROM c GROUP BY 1, 3) GROUP BY 1),
+box AS (SELECT vec_id, count(*) * 16 AS n, min(x) * 4 AS x0, min(y) * 4 AS y0, max(x) * 4 + 4 AS x1, max(y) * 4 + 4 AS y1 FROM c GROUP BY 1)
+SELECT e.vec_id, CAST(32 AS INTEGER) AS width, CAST(32 AS INTEGER) AS height, CAST(coalesce(box.n, 0) AS INTEGER) AS ink_px, coalesce(box.n, 0) / 1024.0::DOUBLE AS ink_density, CAST(coalesce(x0, 0) AS INTEGER) AS "left", CAST(coalesce(y0, 0) AS INTEGER) AS top,
+  CAST(coalesce(x1, 0) AS INTEGER) AS "right", CAST(coalesce(y1, 0) AS INTEGER) AS bottom, coalesce(h_span, 0.0::DOUBLE) AS h_span, coalesce(v_span, 0.0::DOUBLE) AS v_span, coalesce(stroke, 0.0::DOUBLE) AS stroke,
+  CAST(coalesce(parts.n, 0) AS INTEGER) AS components, true AS ok, CAST(NULL AS VARCHAR) AS error
+FROM embeddings e LEFT JOIN box ON box.vec_id = e.vec_id LEFT JOIN parts ON parts.vec_id = e.vec_id LEFT JOIN spans ON spans.vec_id = e.vec_id LEFT JOIN stroke ON stroke.vec_id = e.vec_id""",
     "event_windows": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2",
     "signal_runs": f"WITH {_RUNS} SELECT * FROM r",
     "merge_close_runs": f"""

@@ -196,17 +196,29 @@ def fallback_capitals(bank: DataFrame, letters: list[str], scale: float = 1.30)
     return made.join(bank.select("char").distinct(), "char", "left_anti")
 
 
+def bank_variants(banks: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., char, variant, file) of bank files (keys..., value), JSON objects from characters to lists of files."""
+    found = banks.select(*keys, F.explode(F.from_json("value", "map<string, array<string>>")).alias("char", "files"))
+    return found.select(*keys, "char", F.posexplode("files").alias("variant", "file"))
+
+
 def read_bank_file(spark: SparkSession, path: str) -> DataFrame:
-    """(char, variant, file) of a bank file, a JSON object from characters to lists of files."""
-    found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("char", "files"))
-    return found.select("char", F.posexplode("files").alias("variant", "file"))
+    """(char, variant, file) of a bank file."""
+    return bank_variants(spark.read.text(path, wholetext=True))
+
+
+AUDIT = "per_glyph array<struct<file: string, quality_score: double>>"
 
 
 def read_audit(spark: SparkSession, path: str, default: float = 0.85) -> DataFrame:
-    """(stem, quality) of an audit report; a glyph without a score has the default."""
-    entries = spark.read.schema("per_glyph array<struct<file: string, quality_score: double>>").option("multiLine", True).json(path)
-    rows = entries.select(F.explode("per_glyph").alias("g"))
-    return rows.select(F.regexp_extract("g.file", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), F.coalesce("g.quality_score", F.lit(default)).alias("quality"))
+    """(stem, quality) of an audit report."""
+    return audit_scores(spark.read.schema(AUDIT).option("multiLine", True).json(path), default=default)
+
+
+def audit_scores(reports: DataFrame, *keys: str, default: float = 0.85) -> DataFrame:
+    """(keys..., stem, quality) of audit reports (keys..., per_glyph); a glyph without a score has the default."""
+    rows = reports.select(*keys, F.explode("per_glyph").alias("g"))
+    return rows.select(*keys, F.regexp_extract("g.file", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), F.coalesce("g.quality_score", F.lit(default)).alias("quality"))
 
 
 #: A profile's layout where its metadata don't say.
