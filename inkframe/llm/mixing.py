@@ -4,8 +4,9 @@ A source's weight is its share of all tokens to the power of an exponent, normal
 bisected, six levels a job, until the weights have a target entropy, or until no source is repeated
 more than a limit. Budgeted block permutations realise the weights: a source's documents are dealt
 into blocks by hash and ordered by it inside a block; a source of e epochs gives each document
-floor(e) times and those in front of the remaining token budget once more. Prefix sums go over block
-totals first and rows of a block second, so a source with a third of all rows is no hot task.
+floor(e) times and those in front of the remaining token budget once more. Prefix sums go over spans of
+blocks first, blocks of a span second and rows of a block third, so a source with a third of all rows is
+no hot task at any level. Texts are counted once: the rows with their counts are written to the shared folder.
 
 Null and empty texts have no tokens; they are given as often as their source's whole epochs. A source
 without tokens is given once. Rows without source are a source of their own. Repeated rows count
@@ -15,19 +16,25 @@ an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stash
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = SPAN_BLOCKS = 1024
+SPACE = "\x20\t\n\x0b\x0c\r"
 
 
 def token_count(text: Column) -> Column:
-    """Words parted by white space."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+    """Words parted by white space: the parts of a split, without the empty ones at the ends."""
+    text = F.coalesce(text, F.lit(""))
+    parts = F.size(F.split(text, r"[\x20\x09-\x0D]+"))
+    empty = [reduce(or_, (at(text, F.lit(c)) for c in SPACE)).cast("int") for at in (F.startswith, F.endswith)]
+    return F.when(text == "", F.lit(0)).otherwise(parts - empty[0] - empty[1]).cast("long")
 
 
 def exponent(sources: DataFrame, budget: float | None = None, max_repeats: float | None = 4.0, target_entropy: float | None = None, jobs: int = 5) -> float:
@@ -62,22 +69,27 @@ def exponent(sources: DataFrame, budget: float | None = None, max_repeats: float
     return high
 
 
-def mix(docs: DataFrame, budget: float | None = None, max_repeats: float | None = 4.0, target_entropy: float | None = None, out_blocks: int = 1024) -> DataFrame:
+def _before(value: str, by: list[str], *order: str) -> Column:
+    """The sum of the rows before."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def mix(docs: DataFrame, budget: float | None = None, max_repeats: float | None = 4.0, target_entropy: float | None = None, out_blocks: int = 1024, keep_text: bool = True) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source, ...) as often as the mix gives them, with columns
 
     mix_tokens, mix_weight (of the source), mix_epochs (of the source), mix_copy (0, 1, ...),
     mix_position (0 to 1, place in the mixed stream) and mix_block (the stream in ``out_blocks`` parts).
+    Without ``keep_text`` the text is only counted.
     """
     own_columns = ("mix_tokens", "mix_weight", "mix_epochs", "mix_copy", "mix_position", "mix_block")
-    columns = [c for c in docs.columns if c.lower() not in own_columns]
+    columns = [c for c in docs.columns if c.lower() not in own_columns and (keep_text or c != "text")]
     kept = [F.col(f"mix_in_{k}").alias(c) for k, c in enumerate(columns)]
-    docs = docs.select("doc_id", "text", "source", *[docs[c].alias(f"mix_in_{k}") for k, c in enumerate(columns)])
-    rows = docs.count()
-    blocks = max(1, -(-rows // BLOCK_ROWS))
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    hashed = F.xxhash64("doc_id", "text")
-    dealt = docs.withColumns({"mix_tokens": token_count(F.col("text")), "mix_key": key, "mix_hash": hashed, "mix_block": F.pmod(hashed, F.lit(blocks)).cast("int")})
-    sums = stash(dealt.groupBy("mix_key", "mix_block").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("rows")), "block-sums")
+    key = F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit("null"))
+    counted = docs.select(*[docs[c].alias(f"mix_in_{k}") for k, c in enumerate(columns)], docs["doc_id"].alias("mix_doc"), token_count(docs["text"]).alias("mix_tokens"), key.alias("mix_key"), F.xxhash64(docs["doc_id"], docs["text"]).alias("mix_hash"))
+    counted = stash(counted, "counted")
+    blocks = max(1, -(-counted.count() // BLOCK_ROWS))
+    dealt = counted.withColumn("mix_block", F.pmod("mix_hash", F.lit(blocks)).cast("int"))
+    sums = stash(dealt.groupBy("mix_key", "mix_block").agg(F.sum("mix_tokens").alias("tokens")), "block-sums")
     sources = sums.groupBy("mix_key").agg(F.sum("tokens").alias("tokens"))
     sources = stash(sources, "sources")
     full = sources.filter("tokens > 0").select("tokens")
@@ -91,11 +103,13 @@ def mix(docs: DataFrame, budget: float | None = None, max_repeats: float | None
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(total)), F.lit(a)) / F.lit(z)).otherwise(0.0)
     epochs = F.when(F.col("tokens") > 0, F.round(weight * F.lit(float(budget)) / F.col("tokens"), 9)).otherwise(1.0)
     sources = sources.select("mix_key", F.col("tokens").alias("source_tokens"), weight.alias("mix_weight"), epochs.alias("mix_epochs"))
-    before = F.sum("tokens").over(Window.partitionBy("mix_key").orderBy("mix_block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = stash(sums.withColumn("block_start", F.coalesce(before, F.lit(0))).join(sources, "mix_key").drop("tokens", "rows"), "block-starts")
+    spanned = sums.withColumn("span", F.floor(F.col("mix_block") / SPAN_BLOCKS))
+    spans = spanned.groupBy("mix_key", "span").agg(F.sum("tokens").alias("tokens"))
+    spans = spans.select("mix_key", "span", _before("tokens", ["mix_key"], "span").alias("span_start")).join(sources, "mix_key")
+    in_span = spanned.withColumn("block_start", _before("tokens", ["mix_key", "span"], "mix_block"))
+    starts = stash(in_span.drop("tokens").join(spans, ["mix_key", "span"]).withColumn("block_start", F.col("span_start") + F.col("block_start")).drop("span", "span_start"), "block-starts")
 
-    own = Window.partitionBy("mix_key", "mix_block").orderBy("mix_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("mix_before", F.coalesce(F.sum("mix_tokens").over(own), F.lit(0))).join(starts, ["mix_key", "mix_block"])
+    placed = dealt.withColumn("mix_before", _before("mix_tokens", ["mix_key", "mix_block"], "mix_hash", "mix_doc")).join(starts, ["mix_key", "mix_block"])
     at = F.col("block_start") + F.col("mix_before")
     whole = F.floor("mix_epochs").cast("int")
     rest = (F.col("mix_epochs") - whole) * F.col("source_tokens")

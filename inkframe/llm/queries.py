@@ -43,7 +43,7 @@ def avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents the mix gives, how often and where; no source is repeated more than four times."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, max_repeats=4.0).drop("text")
+    return mix(docs, max_repeats=4.0, keep_text=False)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
