@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, slices, small_batches, stash
+from .common import arrow_rows, drop, slices, small_batches, stash
 
 PLACES, GRAMS, LANDMARKS, SAMPLE, EACH, RIDGE = 8192, 3, 128, 2400, 8, 1e-3
 ROWS, PART, LEAST_LIKE = 256, 1 << 20, 0.01
@@ -125,11 +125,12 @@ def _predict(model):
 def learn(docs: DataFrame, broadcast_languages: int = 10_000):
     """A broadcast of what `train` gives for a bounded sample of the training rows of ``docs``.
 
-    The sample is drawn by a hash of doc_id against a limit for each language; the limits are broadcast up to
-    ``broadcast_languages`` languages, else joined.
+    The sample is drawn by a hash of doc_id and text against a limit for each language; the limits are broadcast up to
+    ``broadcast_languages`` languages, else joined. Repeated rows would be drawn together, however many, so they count once.
     """
     spark = docs.sparkSession
-    usable = docs.filter(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"))
+    usable = docs.filter(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    usable = usable.withColumn("draw", F.pmod("key", F.lit(1 << 30)))
     counts = stash(usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")), "languages")
     languages = counts.count()
     if not languages:
@@ -137,7 +138,9 @@ def learn(docs: DataFrame, broadcast_languages: int = 10_000):
     each = max(EACH, SAMPLE // languages)
     limits = counts.select("lang", F.greatest(F.col("first") + 1, F.least(F.lit(1.0), F.lit(each) / F.col("n")) * (1 << 30)).alias("limit"))
     limits = F.broadcast(limits) if languages <= broadcast_languages else limits
-    rows = usable.join(limits, "lang").filter("draw < limit").select("lang", "text").mapInArrow(_sampled, "lang string, bits binary").collect()
+    drawn = usable.join(limits, "lang").filter("draw < limit").dropDuplicates(["lang", "key"])
+    rows = drawn.select("lang", "text").mapInArrow(_sampled, "lang string, bits binary").collect()
+    drop(counts)
     rows = sorted(((r["lang"], bytes(r["bits"])) for r in rows), key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))
     bits = np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1)
     return spark.sparkContext.broadcast(train([lang for lang, _ in rows], bits))

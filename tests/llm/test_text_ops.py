@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -252,6 +253,15 @@ def test_languages_without_a_cap_and_parts_of_long_texts(spark, monkeypatch):
     assert (langid.presence([text]) == whole).all()
 
 
+def test_repeated_rows_are_learned_once(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(langid, "train", lambda langs, bits: learned.append(Counter(langs)))
+    rows = [(None, "the same words again and again", "en")] * 3000 + [(0, "les mots", "fr")] * 3000 + [(n, f"palabras {n}", "es") for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit(False))
+    langid.learn(docs)
+    assert learned == [Counter({"es": 20, "en": 1, "fr": 1})]
+
+
 def test_unknown_scripts_go_and_missing_languages_are_named(spark):
     rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 9)]
     rows += [(100, "日本語の文です", None), (101, "and the dog", None), (102, "日本語", "ja?"), (103, "the", "xx")]
