@@ -88,8 +88,9 @@ def source_method(profile: Column, known: dict[str, str] | None = None) -> Colum
 
 
 def coverage_text(found: dict[str, tuple[Column, int]]) -> Column:
-    """A line like `Lowercase: 96% | Digits: 70%` of texts like `25/26`; a null text counts as none."""
-    parts = [F.format_string(f"{name}: %.0f%%", F.round(F.split(F.coalesce(text, F.lit(f"0/{total}")), "/")[0].cast("int") / total * 100, 1)) for name, (text, total) in found.items()]
+    """A line like `Lowercase: 96% | Digits: 70%` of texts like `25/26`; a null text counts as none. Halves go to the even
+    number (23 of 26 is 88.5 and then 88), where Java's formats round them up."""
+    parts = [F.format_string(f"{name}: %.0f%%", F.rint(F.round(F.split(F.coalesce(text, F.lit(f"0/{total}")), "/")[0].cast("int") / total * 100, 1))) for name, (text, total) in found.items()]
     return F.concat_ws(" | ", *parts)
 
 

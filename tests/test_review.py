@@ -2,10 +2,12 @@ import json
 
 import numpy as np
 import pytest
+from oracle import connect, same_rows
 from pyspark.sql import functions as F
 
 from inkframe.__main__ import main
 from inkframe.operators import kernels, layout, photo, review
+from inkframe.plans import catalogue
 from inkframe.sources import dims, glyphs, png, sinks, templates
 
 
@@ -30,6 +32,16 @@ def test_review_filters_and_orders(spark):
         assert names(rows.orderBy(*review.review_order(order))) == want
 
 
+def test_coverage_rounds_halves_to_even(spark, tmp_path):
+    found = spark.range(27).select(F.concat("id", F.lit("/26")).alias("small"), F.concat(F.col("id") % 9, F.lit("/8")).alias("other"), F.lit(None).cast("string").alias("none"))
+    lines = [r.line for r in found.select(review.coverage_text({"a": (F.col("small"), 26), "b": (F.col("other"), 8), "c": (F.col("none"), 10)}).alias("line")).collect()]
+    assert lines == [f"a: {round(n / 26 * 100, 1):.0f}% | b: {round(n % 9 / 8 * 100, 1):.0f}% | c: 0%" for n in range(27)]
+    assert lines[10].startswith("a: 38%") and lines[23].startswith("a: 88%")
+    keys = [(26 * again + k, n) for n in range(27) for k in range(n) for again in range(2)] + [(None, 0)]
+    spark.createDataFrame(keys, "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    same_rows(catalogue.QUERIES["coverage_line"](spark, str(tmp_path)), connect(tmp_path), catalogue.ORACLES["coverage_line"])
+
+
 def test_replace_keeps_fallbacks_and_failures_leave_the_old(spark, tmp_path):
     path = str(tmp_path / "glyphs")
     table = lambda *stems: spark.createDataFrame([(s, n) for n, s in enumerate(stems)], "stem string, n int")
